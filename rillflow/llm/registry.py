@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_texts
 from .common import table
 from .media import store_texts
+from .packing import pack_texts
 from .secrets import scan_texts
 
+#: Folder of the public vocabulary files; a parameter, the files are never copied.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -19,6 +24,14 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_trie_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
+
+
+def op10_online_packing(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in sorted(globals().items()) if k[:2] == "op" and k[2:3].isdigit()}
     return found
