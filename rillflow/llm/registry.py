@@ -11,10 +11,49 @@ from .common import table
 from .media import store_texts
 from .packing import pack_texts
 from .secrets import scan_texts
+from .urlfilter import Rule, judge
 
 #: Folder of the public vocabulary files; a parameter, the files are never copied.
 TOKENIZERS = "/opt/tokenizers"
 
+#: The rules of the contract.
+RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
+
+
+def op2_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path, html
+  FROM pages),
+rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+urls AS (
+  SELECT DISTINCT url AS node FROM pages WHERE contains(url, '://')),
+link AS (
+  SELECT url AS src, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) AS dst FROM pages WHERE contains(url, '://')
+  UNION ALL
+  SELECT url, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''>\s]+)', 1) FROM pages WHERE contains(url, '://')),
+edge AS (SELECT src, dst FROM link WHERE contains(dst, '://') AND src <> dst),
+sym AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
+reach(a, b) AS (SELECT src, dst FROM sym UNION SELECT r.a, s.dst FROM reach r JOIN sym s ON r.b = s.src),
+node AS (SELECT DISTINCT a AS url FROM reach),
+nodehp AS (
+  SELECT url, translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path FROM node),
+nodev AS (
+  SELECT url, max_by(verdict, length(rhost || rpath)) AS v FROM nodehp JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
+alias AS (
+  SELECT r.a AS url, bool_or(n.v = 'block') AND NOT bool_or(n.v = 'allow') AS blocked FROM (SELECT a, b FROM reach UNION SELECT url, url FROM node) r JOIN nodev n ON n.url = r.b GROUP BY r.a),
+own AS (
+  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS v
+  FROM u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM u LEFT JOIN own USING (page_id) LEFT JOIN alias ON alias.url = u.url
+"""
+
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -38,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_redirect_filter": OP2_SQL}
