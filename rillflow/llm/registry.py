@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_texts
 from .common import table
 from .media import store_texts
+from .neardup import near_duplicates
 from .packing import pack_texts
 from .secrets import scan_texts
 from .urlfilter import Rule, judge
@@ -55,6 +56,10 @@ FROM u LEFT JOIN own USING (page_id) LEFT JOIN alias ON alias.url = u.url
 """
 
 
+def op3_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=2, threshold=80)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
