@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_texts
-from .common import table
+from .common import crc_mod, table
 from .media import store_texts
 from .neardup import near_duplicates
 from .packing import pack_texts
+from .quality import judged, score_quality, train_quality
 from .secrets import scan_texts
+from .toxicity import score_toxicity, train_toxicity
 from .urlfilter import Rule, judge
 
 #: Folder of the public vocabulary files; a parameter, the files are never copied.
@@ -60,6 +62,18 @@ def op3_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=2, threshold=80)
 
 
+def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    fitted = train_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), crc_mod("doc_id", 4) != 2)
+    return judged(score_toxicity(docs, fitted), 4, 2, 0.3)
+
+
+def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    forest = train_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), crc_mod("doc_id", 3) != 1)
+    return judged(score_quality(docs, forest), 3, 1, 0.5)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
