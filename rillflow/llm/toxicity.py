@@ -46,7 +46,7 @@ PRIOR, FLOOR = 4.0, 0.25
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = ".-_*~·^'`,:;/ "
 #: Log costs of the channel: a stand-in, a hidden vowel, a character left as it is, a separator, a second and a further repetition.
-STAND_IN, HIDDEN, LITERAL, APART, TWICE, AGAIN = -0.7, -2.5, -5.0, -0.4, -2.0, -0.2
+STAND_IN, HIDDEN, LITERAL, APART, TWICE, AGAIN = -0.7, -2.5, -8.0, -0.4, -4.0, -0.2
 
 LETTERS = 28  # boundary, a-z, any other letter
 OTHER = 27
@@ -93,7 +93,7 @@ def arcs(chars: str, i: int) -> list[tuple[str, float]]:
         out.append(("", APART))
     if c == "*":
         out += [(v, HIDDEN) for v in "aeiou"]
-    out.append((" ", LITERAL if c in LEET else -1.5))
+    out.append((" ", LITERAL if c in LEET else LITERAL / 4))
     return out
 
 
