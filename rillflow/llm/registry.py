@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .common import crc_mod, table
+from .htmltext import extract_pages
 from .media import store_texts
 from .neardup import near_duplicates
 from .packing import pack_texts
@@ -15,6 +17,7 @@ from .quality import judged, score_quality, train_quality
 from .secrets import scan_texts
 from .toxicity import score_toxicity, train_toxicity
 from .urlfilter import Rule, judge
+from .vptree import nearest
 
 #: Folder of the public vocabulary files; a parameter, the files are never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -23,6 +26,10 @@ TOKENIZERS = "/opt/tokenizers"
 RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 
 
+def op1_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
 
@@ -78,6 +85,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
