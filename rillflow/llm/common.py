@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows an Arrow batch; with the longest texts seen (about 0.1 MB) some 30 MB.
 BATCH_ROWS = 256
@@ -51,7 +52,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def map_batches(df: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, kernel: Kernel, schema: str | StructType) -> DataFrame:
     """mapInArrow with small batches; whole texts stay whole."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(kernel, schema)
@@ -65,3 +66,14 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
 def crc_mod(id_column: str, mod: int) -> F.Column:
     """crc32 of an id written as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
+
+
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns as they are, for whose whole texts a predicate holds; ``keep`` makes the predicate once a task."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(holds(texts_of(batch, batch.schema.get_field_index(text_col))), pa.bool_()))
+
+    return map_batches(df, kernel, df.schema)

@@ -273,3 +273,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketch.select("id", "n", "set_key").join(by_set, "set_key", "left")
     comp = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of docs but for those of a group whose id isn't the group's least; all columns as they are.  Rows without an id stay."""
+    gone = materialize(near_duplicates(docs, id_col, text_col, words, threshold).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

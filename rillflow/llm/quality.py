@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, texts_of
+from .common import crc_mod, keep_rows, map_batches, texts_of
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -158,3 +158,8 @@ def score_quality(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_
 def judged(scores: DataFrame, mod: int, rest: int, threshold: float) -> DataFrame:
     """Scores with the fold and the verdict."""
     return scores.select("doc_id", (crc_mod("doc_id", mod) == rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_poor(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose score reaches the threshold, all columns as they are."""
+    return keep_rows(docs, text_col, lambda: lambda texts: (forest.scores(np.array([statistics(t) for t in texts]).reshape(-1, len(NAMES))) >= threshold).tolist())

@@ -101,9 +101,15 @@ def op10_online_packing(spark: SparkSession, sf_dir: str, vocabulary: str = f"{T
     return pack_texts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in sorted(globals().items()) if k[:2] == "op" and k[2:3].isdigit()}
-    return found
+    return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

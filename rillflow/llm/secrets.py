@@ -141,3 +141,22 @@ def redact(text: str, spans: str, mark: str = "[secret]") -> str:
             out += [text[at:a], mark]
         at = max(at, e)
     return "".join(out) + text[at:]
+
+
+def redact_texts(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
+    """docs with every span of its texts replaced by the mark, and a column of lengths brought in line; other columns and null texts as they are."""
+    at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(at).to_pylist()
+            new = [t and redact(t, spelled(scan(t)), mark) for t in old]
+            cols = list(batch.columns)
+            cols[at] = pa.array(new, batch.schema.field(at).type)
+            if length_at is not None:
+                kept = cols[length_at].to_pylist()
+                cols[length_at] = pa.array([k if a == b else len(b) for k, a, b in zip(kept, old, new, strict=True)], batch.schema.field(length_at).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return map_batches(docs, kernel, docs.schema)

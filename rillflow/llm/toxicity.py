@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts_of
+from .common import keep_rows, map_batches, materialize, texts_of
 from .quality import labelled
 
 #: Labelled rows that are learned from; toxic documents a feature needs; words that a worker keeps.
@@ -280,3 +280,13 @@ def score_toxicity(docs: DataFrame, fitted: Toxicity, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fitted.scores(texts_of(batch), shares))], ["doc_id", "score"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), kernel, "doc_id long, score double")
+
+
+def reject_toxic(docs: DataFrame, fitted: Toxicity, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows whose score is under the threshold, all columns as they are."""
+
+    def keep():
+        shares = Shares(fitted.table, fitted.prior, fitted.model)
+        return lambda texts: (fitted.scores(texts, shares) < threshold).tolist()
+
+    return keep_rows(docs, text_col, keep)
