@@ -28,7 +28,8 @@ def ticks(values: list[float]) -> list[float]:
 
 
 def relative(value: str = "value", est: str = "est") -> Column:
-    return F.abs(F.col(value) - F.col(est)) / F.col(value)
+    """Null where the true value is 0 (flows without a change)."""
+    return F.try_divide(F.abs(F.col(value) - F.col(est)), F.col(value))
 
 
 def _r(c: Column) -> Column:

@@ -155,6 +155,11 @@ class HashPipe:
     def shard_width(self) -> int:
         return next_prime(-(-self.width // self.shards))
 
+    @property
+    def size(self) -> int:
+        """Bytes: a 13-byte key and a 32-bit counter a slot, hashes, object."""
+        return self.shards * self.depth * self.shard_width * 17 + 32 * self.depth + 32
+
     def build(self, records: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
         """Slots (shard, stage, pos, key, value)."""
         h, w = HashFamily(self.depth, self.seed), self.shard_width
@@ -366,6 +371,10 @@ class HierarchyCountMin:
             raise ValueError("ratio lies between 0 and 1")
         object.__setattr__(self, "width", next_prime(self.width))
 
+    @property
+    def size(self) -> int:
+        return self.hierarchy().size + 32 * self.depth + 32
+
     @property
     def counts(self) -> list[int]:
         out = [self.depth * self.width]

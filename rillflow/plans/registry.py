@@ -71,7 +71,7 @@ def _cm_sql(s: CountMin, rows: str = "gt", key: str = "key") -> str:
     )
 
 
-ERRORS = "round(avg(abs(value - est) / CAST(value AS DOUBLE)), 6) AS are, round(avg(abs(value - est)), 6) AS aae, round(avg(CASE WHEN value = est THEN 1.0 ELSE 0.0 END), 6) AS acc"
+ERRORS = "round(avg(abs(value - est) / CAST(nullif(value, 0) AS DOUBLE)), 6) AS are, round(avg(abs(value - est)), 6) AS aae, round(avg(CASE WHEN value = est THEN 1.0 ELSE 0.0 END), 6) AS acc"
 
 
 def _truth(spark: SparkSession, sf_dir: str, by: str = "packets") -> DataFrame:
@@ -225,7 +225,7 @@ def cm_estimate(spark, sf_dir):
     return CM.query(CM.build(truth), truth.select("key", "value"))
 
 
-@query(f"WITH {GT}, {_cm_sql(CM)} SELECT {ERRORS}, round(avg(CASE WHEN abs(value - est) / CAST(value AS DOUBLE) <= {PODF} THEN 1.0 ELSE 0.0 END), 6) AS podf FROM est")
+@query(f"WITH {GT}, {_cm_sql(CM)} SELECT {ERRORS}, round(avg(CASE WHEN abs(value - est) / CAST(nullif(value, 0) AS DOUBLE) <= {PODF} THEN 1.0 ELSE 0.0 END), 6) AS podf FROM est")
 def cm_metrics(spark, sf_dir):
     truth = _truth(spark, sf_dir)
     return ev.errors(CM.query(CM.build(truth), truth.select("key", "value")), PODF)
@@ -327,7 +327,7 @@ def _dist_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-@query(f"WITH {GT}, {_cm_sql(CM)}, err AS (SELECT abs(value - est) / CAST(value AS DOUBLE) AS e FROM est) {_dist_sql()}")
+@query(f"WITH {GT}, {_cm_sql(CM)}, err AS (SELECT abs(value - est) / CAST(nullif(value, 0) AS DOUBLE) AS e FROM est) {_dist_sql()}")
 def dist_histogram(spark, sf_dir):
     truth = _truth(spark, sf_dir)
     return ev.distribution(CM.query(CM.build(truth), truth.select("key", "value")), TICKS)
@@ -337,7 +337,7 @@ def _detect_sql(truth: str, found: str) -> str:
     return (
         f"both_ AS (SELECT t.value, f.est FROM {truth} t FULL JOIN {found} f USING (key)) SELECT round(count(CASE WHEN value IS NOT NULL AND est IS NOT NULL THEN 1 END) / CAST(nullif(count(est), 0) AS DOUBLE), 6) AS prc, "
         "round(count(CASE WHEN value IS NOT NULL AND est IS NOT NULL THEN 1 END) / CAST(nullif(count(value), 0) AS DOUBLE), 6) AS rcl, round(2 * count(CASE WHEN value IS NOT NULL AND est IS NOT NULL THEN 1 END) / CAST(nullif(count(est) + count(value), 0) AS DOUBLE), 6) AS f1, "
-        "round(avg(abs(value - est) / CAST(value AS DOUBLE)), 6) AS are FROM both_"
+        "round(avg(abs(value - est) / CAST(nullif(value, 0) AS DOUBLE)), 6) AS are FROM both_"
     )
 
 
