@@ -44,6 +44,7 @@ PRIOR, FLOOR = 4.0, 0.25
 
 #: What characters may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+MARKS = ".,!?;:\"')"
 SEPARATORS = ".-_*~·^'`,:;/ "
 #: Log costs of the channel: a stand-in, a hidden vowel, a character left as it is, a separator, a second and a further repetition.
 STAND_IN, HIDDEN, LITERAL, APART, TWICE, AGAIN = -0.7, -2.5, -8.0, -0.4, -4.0, -0.2
@@ -117,12 +118,12 @@ def tokens(text: str) -> set[str]:
     """Distinct lower-case words between white space, and runs of four or more single characters set apart by spaces."""
     words = text.lower().split()
     out = set(words)
-    single = [i for i, w in enumerate(words) if len(w) == 1]
+    single = [i for i, w in enumerate(words) if len(w) == 1 or (len(w) < 5 and len(w.rstrip(MARKS)) == 1)]
     run: list[int] = []
     for i in [*single, -9]:
         if run and i != run[-1] + 1:
             if len(run) >= 4:
-                out.add(" ".join(words[k] for k in run))
+                out.add(" ".join(words[k].rstrip(MARKS) or words[k][0] for k in run))
             run = []
         run.append(i)
     return out
@@ -132,7 +133,10 @@ def forms(token: str, model: list[float]) -> set[str]:
     """The words of a token as written and, where it looks obfuscated, as restored."""
     core = _EDGE.sub("", token)
     out = set(_WORD.findall(token))
-    if _ODD.match(core) or " " in core:
+    if " " in core:  # where the word begins and ends isn't known
+        for w in _WORD.findall(restore(core, model)):
+            out.update(w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 12) + 1))
+    elif _ODD.match(core):
         out.update(_WORD.findall(restore(core, model)))
     return out
 
