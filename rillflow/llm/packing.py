@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import coder
+from .bpe import library_coder
 from .common import map_batches, materialize, texts_of
 
 #: Ids a window, the id that ends a document, open windows a partition, partitions whose leftovers are merged together.
@@ -133,7 +133,7 @@ def pack_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """One row a piece: its document, place there, checksum of its ids, window and place there."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer, part, n = coder(path), Packer(), TaskContext.get().partitionId(), 0
+        code, packer, part, n = library_coder(path), Packer(), TaskContext.get().partitionId(), 0
         stop = STOP.to_bytes(4, "little")
 
         def batch_of(rows: list[tuple], left: list[bytes | None], is_open: bool) -> pa.RecordBatch:
