@@ -22,6 +22,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,6 +270,25 @@ class TrieBpe(Coder):
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+class Runs(dict):
+    """Runs between spaces and their ids' bytes, made when first met: one look-up a run, whatever its text."""
+
+    def __init__(self, coder: LibraryBpe):
+        self.coder = coder
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= CACHE_RUNS:
+            self.clear()
+        if self.coder.suffix and run[:-1].isalpha() and run[-1] in ".,;:!?":  # the most usual runs need no pattern
+            made = self[run[:-1]] + self[run[-1]]
+        elif self.coder.suffix and run.isalpha():
+            made = self.coder.word(run)
+        else:
+            made = b"".join(map(self.coder.word, self.coder.pattern.findall(run if self.coder.suffix else " " + run)))
+        self[run] = made
+        return made
+
+
 class LibraryBpe(Coder):
     """Encoder by the tokenizers library's own merges, word by word: where only the ids are wanted, several times faster."""
 
@@ -277,14 +297,28 @@ class LibraryBpe(Coder):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
+        self.runs = Runs(self)
 
     def load(self, model: dict) -> None:
         self.letters = {b: c for c, b in _byte_alphabet().items()}
 
-    def code_words(self, words: list[str]) -> Iterator[list[int]]:
-        tokenize, letters = self.model.tokenize, self.letters
-        for w in words:
-            yield [t.id for t in tokenize(w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(letters))]
+    def word(self, w: str) -> bytes:
+        mapped = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        out, get = [], self.runs.__getitem__
+        for text in texts:
+            made = []
+            for p in self.parts(text):
+                if isinstance(p, int):
+                    made.append(struct.pack("<I", p))
+                else:
+                    words, runs = self.split(p)
+                    made += map(self.word, words)
+                    made += map(get, runs)
+            out.append(b"".join(made))
+        return out
 
 
 @functools.cache
