@@ -46,7 +46,7 @@ from .superminhash import WordHashes, mix, shingles, signatures
 M, BAND = 96, 4
 #: Classes a side of a block; how far an estimate may lie under the threshold.
 BLOCK, SLACK = 512, 0.15
-#: Up to so many candidate ids (8 bytes each) are broadcast; more are joined by a shuffle.
+#: Tables of up to so many ids (8 or 16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of a shingle's hash that are kept for verification; chance of one false match in sets of 1,000: 4e-9.
 KEPT = 6
@@ -220,6 +220,11 @@ def _block_kernel(threshold: int) -> Callable:
     return kernel
 
 
+def few(written: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if its counted rows are within the bound."""
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every document."""
     spark = docs.sparkSession
@@ -234,9 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
     buckets = materialize(banded.join(shared.select("key", "least"), "key").select("key", "band", "id", "n", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n")), "buckets")
 
-    ids = materialize(buckets.select("id").distinct(), "candidates")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = few(materialize(buckets.select("id").distinct(), "candidates"))
     sets = materialize(map_batches(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), _set_kernel(words), "id long, n long, shingles binary"), "sets")
 
     alike = 100 * F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n")
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = placed.join(mixed.select("key", "c", "main"), "key").withColumn("rest", F.col("comp") != F.col("main"))
     many = materialize(many.select("key", "band", "id", "n", "leader", "comp", "c", "rest"), "mixed")
     chunks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    sizes = many.groupBy("key").agg(F.sum(F.col("rest").cast("long")).alias("r"))
+    sizes = few(materialize(many.groupBy("key").agg(F.sum(F.col("rest").cast("long")).alias("r")), "sizes"))
     both = many.join(sizes, "key")
     mine = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), chunks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
@@ -277,7 +280,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs but for those of a group whose id isn't the group's least; all columns as they are.  Rows without an id stay."""
-    gone = materialize(near_duplicates(docs, id_col, text_col, words, threshold).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    gone = few(materialize(near_duplicates(docs, id_col, text_col, words, threshold).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped"))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

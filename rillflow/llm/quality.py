@@ -131,8 +131,17 @@ def _statistics_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, sample: int) -> DataFrame:
-    """(id, text, y) of at most ``sample`` labelled rows for which train holds, drawn by a hash of the id.  The drawn labels are broadcast: their number is bounded."""
+    """(id, text, y) of at most ``sample`` labelled rows for which train holds, drawn by a hash of the id.
+
+    The rows are counted and thinned by the hash before the least are ordered, so
+    a large table doesn't send ``sample`` rows from every partition to one task.
+    The drawn labels are broadcast: their number is bounded.
+    """
     drawn = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    total = drawn.count()
+    if total > 2 * sample:
+        share = int(1_000_000 * (1.1 * sample + 100) / total)
+        drawn = drawn.where(F.pmod(F.xxhash64(F.lit(18), "id"), F.lit(1_000_000)) < share)
     drawn = drawn.orderBy(F.xxhash64(F.lit(17), "id"), "id", "y").limit(sample)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
 

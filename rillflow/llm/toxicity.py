@@ -24,6 +24,7 @@ Null text counts as empty; without labels all scores are 0.5.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -177,8 +178,9 @@ class Shares(dict):
 
 
 def inputs(values: list[float], words: int) -> list[float]:
+    """Log odds of the three most toxic words over the floor's, the number of likely toxic ones, the length."""
     top = sorted((v for v in values if v), reverse=True)
-    first = (top + [0.0] * 3)[:3]
+    first = [math.log(v / (1 - v)) - math.log(FLOOR / (1 - FLOOR)) if v else 0.0 for v in (top + [0.0] * 3)[:3]]
     return [*first, np.log1p(sum(v >= 0.5 for v in top)), np.log1p(words)]
 
 
