@@ -178,10 +178,10 @@ class Shares(dict):
 
 
 def inputs(values: list[float], words: int) -> list[float]:
-    """Log odds of the three most toxic words over the floor's, the number of likely toxic ones, the length."""
+    """Log odds of the three most toxic words over the floor's, the number of likely toxic ones, and, where there are any, the length."""
     top = sorted((v for v in values if v), reverse=True)
     first = [math.log(v / (1 - v)) - math.log(FLOOR / (1 - FLOOR)) if v else 0.0 for v in (top + [0.0] * 3)[:3]]
-    return [*first, np.log1p(sum(v >= 0.5 for v in top)), np.log1p(words)]
+    return [*first, np.log1p(sum(v >= 0.5 for v in top)), np.log1p(words) if top else 0.0]
 
 
 @dataclass
