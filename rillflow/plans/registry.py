@@ -393,13 +393,16 @@ def flowradar_decode(spark, sf_dir):
     return decode(RADAR.build(_truth(spark, sf_dir)), RADAR)
 
 
-@query()
+@query(
+    f"WITH {_gate_sql(RADAR.filter)}, est AS (SELECT key, value AS est FROM gate WHERE (SELECT count(*) FROM gate WHERE NOT inserted) = 0), b AS (SELECT gt.value, est.est FROM gt LEFT JOIN est USING (key)) "
+    f"SELECT round(count(est) / CAST(count(*) AS DOUBLE), 6) AS ratio, {ERRORS}, round(avg(CASE WHEN est IS NOT NULL THEN CASE WHEN abs(value - est) / CAST(nullif(value, 0) AS DOUBLE) <= 0.01 THEN 1.0 ELSE 0.0 END END), 6) AS podf FROM b"
+)
 def decode_metrics(spark, sf_dir):
     truth = _truth(spark, sf_dir)
     return ev.decodings(truth, decode(RADAR.build(truth), RADAR), ["key"], 0.01)
 
 
-@query()
+@query(f"WITH {GT}, {_cm_sql(CM)} SELECT key, value, est FROM est")
 def chcm_estimate(spark, sf_dir):
     truth = _truth(spark, sf_dir)
     plain = CountMin(CH.depth, CH.width, CH.seed)
