@@ -13,7 +13,9 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,11 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "rillflow-shared")
+        found = _own_dir()
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@functools.cache
+def _own_dir() -> str:
+    """A folder of this process, for local runs; it goes when the process ends."""
+    made = tempfile.mkdtemp(prefix="rillflow-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
