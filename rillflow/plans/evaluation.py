@@ -4,7 +4,7 @@ Sections (all dotted paths are under the section's name):
 
 [<Section>.para]  the sketch's parameters
 [<Section>.data]  data = path, format = [[names], [lengths]], cnt_method = "InLength" | "InPacket", topk or percentile
-[<Section>.test]  query = ["ARE", ...], query_podf, query_dist, heavyhitter = [...], lookup = [...], decode = [...], sample
+[<Section>.test]  update = ["RATE"], query = ["ARE", ...], query_podf, query_dist, heavyhitter = [...], lookup = [...], decode = [...], sample
 
 An unknown method falls back to InLength and TopK.  A metric that a routine
 doesn't know is ignored; DIST and PODF need their companion key.
@@ -34,6 +34,15 @@ def wanted(config: Config, routine: str) -> tuple[set[str], float | None, list[f
     return asked, podf if "PODF" in asked else None, ev.ticks(dist) if "DIST" in asked else None
 
 
+def clocked(config: Config, routine: str, rows: int, *frames: DataFrame) -> dict[str, float]:
+    """TIME and RATE of a routine, where asked for: each frame is computed once as a whole."""
+    asked = wanted(config, routine)[0] & {"TIME", "RATE"}
+    if not asked:
+        return {}
+    got = ev.timed(lambda: [f.write.format("noop").mode("overwrite").save() for f in frames], rows)
+    return {k: got[k] for k in asked}
+
+
 def keyed(records: DataFrame, fmt: RecordFormat) -> DataFrame:
     """Records with the number that hashes a flow key, and a flow id for grouping."""
     return records.withColumn("key", flowkey.number(F.col("flowkey"), fmt.key_length))
@@ -54,30 +63,40 @@ def evaluate(spark: SparkSession, path: str, section: str, name: str) -> dict[st
     # Keys that hash to the same number below 2^31 - 1 are one flow here.
     truth = exact.ground_truth(records, ["key"], by).cache()
     out: dict[str, dict[str, object]] = {"size": {"SIZE": made.size}}
+    flows, packets = truth.count(), records.count()
     if name in ("count_min", "count_sketch", "conservative_update"):
         source = records.withColumn("value", exact.weight(by)) if name == "conservative_update" else truth
-        joined = made.query(made.build(source), truth.select("key", "value")).cache()
+        cells = made.build(source)
+        out["update"] = clocked(test, "update", packets, cells)
+        joined = made.query(cells, truth.select("key", "value")).cache()
+        out["query"] = clocked(test, "query", flows, joined)
         asked, podf, dist = wanted(test, "query")
         got = {k.upper(): v for k, v in ev.errors(joined, podf).first().asDict().items()}
-        out["query"] = {k: v for k, v in got.items() if k in asked}
+        out["query"] |= {k: v for k, v in got.items() if k in asked}
         if dist:
             out["query"]["DIST"] = [tuple(r) for r in ev.distribution(joined, dist).orderBy("tick").collect()]
     elif name in ("bloom", "counting_bloom"):
         share = test.get("sample", float, False) or 0.3
-        sample = exact.prefix(records, share, records.count())
+        sample = exact.prefix(records, share, packets)
         built = made.build(sample.select("key").distinct() if name == "bloom" else exact.ground_truth(sample, ["key"]))
+        out["insert"] = clocked(test, "insert", int(share * packets), built)
         looked = made.lookup(built, truth).join(sample.select("key").distinct().withColumn("m", F.lit(True)), "key", "left")
         got = ev.lookups(looked.select("found", F.coalesce("m", F.lit(False)).alias("member"))).first().asDict()
-        out["lookup"] = {k.upper(): v for k, v in got.items() if k.upper() in wanted(test, "lookup")[0]}
+        out["lookup"] = clocked(test, "lookup", flows, looked) | {k.upper(): v for k, v in got.items() if k.upper() in wanted(test, "lookup")[0]}
     elif name == "hashpipe":
         share, top = data.get("percentile", float, False), data.get("topk", float, False) or 300.0
         real = exact.heavy_hitters(truth, share, "percentile") if share is not None else exact.heavy_hitters(truth, top)
         least = real.agg(F.min("value")).first()[0] or 1
-        found = made.heavy_hitters(made.build(records.withColumn("value", exact.weight(by))), least)
+        slots = made.build(records.withColumn("value", exact.weight(by)))
+        out["update"] = clocked(test, "update", packets, slots)
+        found = made.heavy_hitters(slots, least)
         got = ev.detections(real, found, ["key"]).first().asDict()
-        out["heavyhitter"] = {k.upper(): v for k, v in got.items() if k.upper() in wanted(test, "heavyhitter")[0]}
+        out["heavyhitter"] = clocked(test, "heavyhitter", 1, found) | {k.upper(): v for k, v in got.items() if k.upper() in wanted(test, "heavyhitter")[0]}
     elif name == "flowradar":
         asked, podf, _ = wanted(test, "decode")
-        got = ev.decodings(truth, decode(made.build(truth), made), ["key"], podf or 0.0).first().asDict()
-        out["decode"] = {k.upper(): v for k, v in got.items() if k.upper() in asked}
+        table = made.build(truth)
+        out["update"] = clocked(test, "update", packets, table)
+        found = decode(table, made)
+        got = ev.decodings(truth, found, ["key"], podf or 0.0).first().asDict()
+        out["decode"] = clocked(test, "decode", 1, found) | {k.upper(): v for k, v in got.items() if k.upper() in asked}
     return out

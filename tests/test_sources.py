@@ -147,11 +147,12 @@ def test_evaluation(spark, tmp_path):
     text = ""
     for s, p in sections.items():
         text += f'[{s}.para]\n{p}\n[{s}.data]\ndata = "{tmp_path}/r.bin"\ncnt_method = "InPacket"\ntopk = 5.0\nformat = [["flowkey", "length"], [4, 2]]\n'
-        text += f'[{s}.test]\nquery = ["ARE", "AAE", "PODF", "DIST", "ODD"]\nquery_dist = [0.1]\nheavyhitter = ["PRC", "RCL"]\nlookup = ["TP", "FN"]\ndecode = ["RATIO", "ACC"]\n'
+        text += f'[{s}.test]\nquery = ["ARE", "AAE", "PODF", "DIST", "ODD"]\nquery_dist = [0.1]\nupdate = ["RATE"]\nheavyhitter = ["TIME", "PRC", "RCL"]\nlookup = ["TP", "FN"]\ndecode = ["RATIO", "ACC"]\n'
     conf.write_text(text)
     cm = evaluate(spark, str(conf), "CM", "count_min")
     assert set(cm["query"]) == {"ARE", "AAE", "DIST"} and sum(s for _, s in cm["query"]["DIST"]) == pytest.approx(1)
-    assert evaluate(spark, str(conf), "HP", "hashpipe")["heavyhitter"]["RCL"] == 1.0
+    hp = evaluate(spark, str(conf), "HP", "hashpipe")
+    assert hp["heavyhitter"]["RCL"] == 1.0 and hp["heavyhitter"]["TIME"] > 0 and cm["update"]["RATE"] > 0
     assert evaluate(spark, str(conf), "BF", "bloom")["lookup"]["FN"] == 0
     assert evaluate(spark, str(conf), "FR", "flowradar")["decode"] == {"RATIO": 1.0, "ACC": 1.0}
     with pytest.raises(ValueError):
