@@ -46,8 +46,8 @@ from .superminhash import WordHashes, mix, shingles, signatures
 M, BAND = 96, 4
 #: Classes a side of a block; how far an estimate may lie under the threshold.
 BLOCK, SLACK = 512, 0.15
-#: Tables of up to so many ids (8 or 16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Tables of up to so many ids (up to 40 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Bytes of a shingle's hash that are kept for verification; chance of one false match in sets of 1,000: 4e-9.
 KEPT = 6
 
@@ -237,6 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
+    shared = few(materialize(shared, "shared"))
     buckets = materialize(banded.join(shared.select("key", "least"), "key").select("key", "band", "id", "n", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n")), "buckets")
 
     ids = few(materialize(buckets.select("id").distinct(), "candidates"))
@@ -251,8 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = buckets.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.max(F.when(F.col("id") == F.col("leader"), F.col("comp"))).alias("main")).where("lo < hi")
+    mixed = few(materialize(mixed, "mixed"))
     many = placed.join(mixed.select("key", "c", "main"), "key").withColumn("rest", F.col("comp") != F.col("main"))
-    many = materialize(many.select("key", "band", "id", "n", "leader", "comp", "c", "rest"), "mixed")
+    many = materialize(many.select("key", "band", "id", "n", "leader", "comp", "c", "rest"), "rest")
     chunks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
     sizes = few(materialize(many.groupBy("key").agg(F.sum(F.col("rest").cast("long")).alias("r")), "sizes"))
     both = many.join(sizes, "key")
