@@ -204,10 +204,10 @@ class RemovableState:
                 yield p, n
 
 
-def counting_bloom_fold(operations: DataFrame, counters: int, count: int, bits: int = 4, seed: int = 3) -> DataFrame:
-    """Counters (shard, pos, n) after inserts and removals (columns seq, key, insert), in order, as one filter."""
-    h, w = HashFamily(count, seed), next_prime(counters)
-    return fold(operations, ["key", "insert"], 1, lambda: RemovableState(h, w, (1 << bits) - 1), "pos long, n long")
+def counting_bloom_fold(operations: DataFrame, counters: int, count: int, bits: int = 4, seed: int = 3, shards: int = 1) -> DataFrame:
+    """Counters (shard, pos, n) after inserts and removals (columns seq, key, insert), in order; one filter, or one a shard of the keys."""
+    h, w = HashFamily(count, seed), next_prime(-(-counters // shards))
+    return fold(operations, ["key", "insert"], shards, lambda: RemovableState(h, w, (1 << bits) - 1), "pos long, n long")
 
 
 def peel(cells: dict[int, tuple[int, int, int]], sketch: FlowRadar) -> dict[int, int]:

@@ -385,7 +385,7 @@ def hashpipe_hh(spark, sf_dir):
 def cbf_remove(spark, sf_dir):
     """Purchases remove the user from the filter, other events insert it."""
     ops = events(spark, sf_dir).where("key is not null").select("seq", "key", (F.coalesce(F.col("event_type"), F.lit("")) != "purchase").alias("insert"))
-    return counting_bloom_fold(ops, 1000, 3, bits=8)
+    return counting_bloom_fold(ops, 2000, 3, bits=8, shards=4)
 
 
 @query(f"WITH {_gate_sql(RADAR.filter)} SELECT key, value AS est FROM gate WHERE (SELECT count(*) FROM gate WHERE NOT inserted) = 0")

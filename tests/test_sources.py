@@ -181,6 +181,13 @@ def test_streaming_equals_batch(spark, tmp_path):
     cells = drained(windowed_cells(src, s, "1 hour", "10 minutes"), "w_cells")
     total = cells.groupBy("r", "c").agg(F.sum("v").alias("v"))
     assert same_rows(total.toPandas(), s.build(exact.ground_truth(df, ["key"])).toPandas())
+    from rillflow.streaming.windows import windowed_changers
+
+    signed = CountMin(3, 50, signed=True)
+    parts = drained(windowed_cells(src, signed, "1 hour", "10 minutes"), "w_signed")
+    changes = windowed_changers(parts, signed, df.select("key").distinct(), "1970-01-01 00:00:00", "1970-01-01 01:00:00")
+    halves = [exact.ground_truth(exact.between(df, 60 * i, 60 * i + 60), ["key"]) for i in (0, 1)]
+    assert values(changes, "est") == values(exact.differences(*halves, ["key"]))
     h = s.hashes
     folded = drained(stream_fold(src.withColumn("value", F.lit(1).cast("long")), ["key", "value"], 1, lambda: CuState(h, 11), "r long, c long, v long"), "w_cu", "update")
     alone = CuState(h, 11)
