@@ -5,10 +5,12 @@ closed form over first-seen order), so building is an aggregate, merging is
 another, and a query is an equi-join on positions.  A cell table has at most
 depth * width rows, a bound fixed by the sketch's parameters; it is broadcast
 while that bound is under ``BROADCAST_CELLS``, else joined by a shuffle.
+``family(size, seed)`` makes the hashes; one's own takes HashFamily's place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,11 +35,12 @@ class CountMin:
     width: int
     seed: int = 1
     signed: bool = False
+    family: Callable[[int, int], HashFamily] = HashFamily
     hashes: HashFamily = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "width", next_prime(self.width))
-        object.__setattr__(self, "hashes", HashFamily(self.depth, self.seed))
+        object.__setattr__(self, "hashes", self.family(self.depth, self.seed))
 
     @property
     def size(self) -> int:
@@ -82,11 +85,12 @@ class Bloom:
     bits: int
     count: int
     seed: int = 2
+    family: Callable[[int, int], HashFamily] = HashFamily
     hashes: HashFamily = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "bits", next_prime(self.bits))
-        object.__setattr__(self, "hashes", HashFamily(self.count, self.seed))
+        object.__setattr__(self, "hashes", self.family(self.count, self.seed))
 
     @property
     def size(self) -> int:
@@ -127,10 +131,11 @@ class CountingBloom:
     count: int
     bits: int = 4
     seed: int = 3
+    family: Callable[[int, int], HashFamily] = HashFamily
     filter: Bloom = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "filter", Bloom(self.counters, self.count, self.seed))
+        object.__setattr__(self, "filter", Bloom(self.counters, self.count, self.seed, self.family))
 
     @property
     def size(self) -> int:
@@ -156,13 +161,14 @@ class FlowRadar:
     table: int
     table_hashes: int
     seed: int = 4
+    family: Callable[[int, int], HashFamily] = HashFamily
     filter: Bloom = field(init=False, repr=False)
     hashes: HashFamily = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "table", next_prime(self.table))
-        object.__setattr__(self, "filter", Bloom(self.filter_bits, self.filter_hashes, self.seed))
-        object.__setattr__(self, "hashes", HashFamily(self.table_hashes, self.seed + 100))
+        object.__setattr__(self, "filter", Bloom(self.filter_bits, self.filter_hashes, self.seed, self.family))
+        object.__setattr__(self, "hashes", self.family(self.table_hashes, self.seed + 100))
 
     @property
     def size(self) -> int:

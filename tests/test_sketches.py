@@ -39,6 +39,24 @@ def test_count_min(flows):
     assert unseen == 0
 
 
+class Modulo(HashFamily):
+    """A hash of one's own."""
+
+    def position(self, i, key, width):
+        return (key + i) % width
+
+    def place(self, i, key, width):
+        return (key + i) % width
+
+
+def test_own_hash(flows):
+    keys, _, truth = flows
+    s = CountMin(1, 7, family=Modulo)
+    assert values(s.query(s.build(truth), truth.select("key")), "est") == {k: sum(x % 7 == k % 7 for x in keys) for k in set(keys)}
+    b = Bloom(7, 1, family=Modulo)
+    assert {x[0] for x in b.build(truth).collect()} == {k % 7 for k in keys}
+
+
 @pytest.mark.parametrize("depth", [3, 4])
 def test_count_sketch(flows, depth):
     keys, _, truth = flows
