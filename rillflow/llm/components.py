@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import few, materialize
 
 
 def _order(c: str) -> F.Column:
@@ -42,6 +42,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     root = steps[0].select(F.col("u").alias("node"), F.col("p").alias("r"))
     for up in steps[1:]:
-        root = root.join(up.select(F.col("u").alias("r"), "p"), "r", "left").select("node", F.coalesce("p", "r").alias("r"))
-    least = root.groupBy("r").agg(F.min("node").alias("component"))
+        root = root.join(few(up.select(F.col("u").alias("r"), "p")), "r", "left").select("node", F.coalesce("p", "r").alias("r"))
+    root = materialize(root, "roots")
+    least = few(materialize(root.groupBy("r").agg(F.min("node").alias("component")), "least"))
     return root.join(least, "r").select("node", "component")

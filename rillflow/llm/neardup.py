@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, texts_of
+from .common import few, map_batches, materialize, texts_of
 from .components import components
 from .superminhash import WordHashes, mix, shingles, signatures
 
@@ -46,8 +46,6 @@ from .superminhash import WordHashes, mix, shingles, signatures
 M, BAND = 96, 4
 #: Classes a side of a block; how far an estimate may lie under the threshold.
 BLOCK, SLACK = 512, 0.15
-#: Tables of up to so many ids (up to 40 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 #: Bytes of a shingle's hash that are kept for verification; chance of one false match in sets of 1,000: 4e-9.
 KEPT = 6
 
@@ -220,11 +218,6 @@ def _block_kernel(threshold: int) -> Callable:
     return kernel
 
 
-def few(written: DataFrame) -> DataFrame:
-    """A written table of ids, to be broadcast if its counted rows are within the bound."""
-    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every document."""
     spark = docs.sparkSession
@@ -269,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flagged = materialize(flagged, "flagged")
     full = flagged.join(sets.select("id", "shingles"), "id").repartition("key", "rc", "oc").sortWithinPartitions("key", "rc", "oc")
     more = map_batches(full.select("key", "rc", "oc", "id", "rest", "comp", "shingles"), _block_kernel(threshold), "src long, dst long")
-    second = components(more).select(F.col("node").alias("comp"), F.col("component").alias("last"))
+    second = few(materialize(components(more).select(F.col("node").alias("comp"), F.col("component").alias("last")), "joined"))
     final = first.join(second, "comp", "left").select("id", F.coalesce("last", "comp").alias("comp"))
     lone = second.join(first.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("last").alias("comp"))
     final = final.unionByName(lone)

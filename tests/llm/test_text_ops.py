@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
-from rillflow.llm import bpe, htmltext, media, neardup, packing, quality, registry, secrets, superminhash, toxicity
+from rillflow.llm import bpe, common, htmltext, media, neardup, packing, quality, registry, secrets, superminhash, toxicity
 
 BYTE, WORD = (f"{registry.TOKENIZERS}/{n}" for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", None, "x", "same text twice", "same text twice", "a  b\n\n\tc ", "é" * 3000 + " ß", "<|endoftext|> I'll <|startoftext|>", "word " * 5000]
@@ -263,18 +263,14 @@ def test_near_duplicates(spark, seed, words, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} and kept.columns == df.columns
 
 
-def test_near_duplicates_odd_rows(spark, odd):
+def test_near_duplicates_odd_rows(spark, odd, monkeypatch):
     p = pandas(neardup.near_duplicates(odd, words=2))
     assert len(p) == len(ODD) + 2
     assert p[p.doc_id == 4].component_id.tolist() == [3] and p[p.doc_id == 0].component_id.tolist() == [0]
     assert p[p.doc_id.isna()].component_id.isna().all()
     assert neardup.near_duplicates(odd.where("false")).count() == 0
-    monkey = neardup.BROADCAST_IDS
-    try:
-        neardup.BROADCAST_IDS = 0  # the way by a shuffle
-        again = pandas(neardup.near_duplicates(odd, words=2))
-    finally:
-        neardup.BROADCAST_IDS = monkey
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)  # the way by a shuffle
+    again = pandas(neardup.near_duplicates(odd, words=2))
     assert sorted(map(str, again.values.tolist())) == sorted(map(str, p.values.tolist()))
 
 
