@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Tables of up to so many ids (up to 40 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 300_000
 #: Rows an Arrow batch; with the longest texts seen (about 0.1 MB) some 30 MB.
 BATCH_ROWS = 256
 

@@ -45,7 +45,7 @@ from .superminhash import WordHashes, mix, shingles, signatures
 #: Registers, and registers a band.
 M, BAND = 96, 4
 #: Classes a side of a block; how far an estimate may lie under the threshold.
-BLOCK, SLACK = 512, 0.15
+BLOCK, SLACK = 448, 0.15
 #: Bytes of a shingle's hash that are kept for verification; chance of one false match in sets of 1,000: 4e-9.
 KEPT = 6
 

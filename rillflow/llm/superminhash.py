@@ -23,7 +23,7 @@ _G = np.uint64(_STEP)
 class WordHashes(dict):
     """64-bit hashes of words; emptied when it reaches its bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
