@@ -4,9 +4,10 @@ Patterns (``BASE``) are found leftmost and non-overlapping for each kind.  The
 method adds spans of kind ``entropy``: in each candidate run of token characters
 a window of ``WINDOW`` characters slides along, its Shannon entropy kept by
 incremental counts (two counts change at each step); windows at or over the
-threshold of the run's character class are joined into a span.  Runs that the
-allow-list knows (identifiers, paths, words, UUIDs, alphabets, placeholders)
-and spans that a pattern has found already are suppressed.
+threshold of the run's character class are joined into a span.  Spans that a
+pattern has found already, alphabets and placeholders are cut out of the runs
+first; what is left of a run is a run of its own.  Runs that the allow-list
+knows (identifiers, paths, words, UUIDs) are suppressed.
 
 Spans are (kind, start, end) in code points, end exclusive.  Null text counts
 as empty and has no spans; texts are scanned whole.
@@ -44,10 +45,19 @@ ALLOW = tuple(
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
         r"[/_=+-]*(?:[A-Za-z]+[/_=+-]+)+[A-Za-z]*",
         r"[0-9/_=+-]+",
-        r".*(?:abcdefghij|ABCDEFGHIJ|0123456789|EXAMPLE|example|xxxxxx|XXXXXX).*",
         r"[A-Za-z][a-z]*",
     )
 )
+
+
+def _alphabet(letters: str) -> str:
+    """The first ten letters and as many of those after them as follow."""
+    return letters[:10] + "".join(f"(?:{x}" for x in letters[10:]) + ")?" * len(letters[10:])
+
+
+#: Stretches of a run that are no secrets; the rest of the run may be one.
+FILLER = re.compile("|".join([_alphabet("abcdefghijklmnopqrstuvwxyz"), _alphabet("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "0123456789", "EXAMPLE", "example", "x{6,}", "X{6,}"]))
+JOINTS = "/_=+-"
 _TERM = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -92,6 +102,21 @@ def entropy_windows(run: str, least: float, window: int = WINDOW) -> list[tuple[
     return spans
 
 
+def pieces(text: str, start: int, end: int, known: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What fillers and known spans leave of a run, without separators next to a cut."""
+    cuts = [(a, e) for a, e in known if a < end and start < e] + [(m.start(), m.end()) for m in FILLER.finditer(text, start, end)]
+    at, cut = start, False
+    for a, e in [*sorted(cuts), (end, end)]:
+        low, high = at, min(a, end)
+        while cut and low < high and text[low] in JOINTS:
+            low += 1
+        while a < end and low < high and text[high - 1] in JOINTS:
+            high -= 1
+        if high - low >= WINDOW:
+            yield low, high
+        at, cut = max(at, e), True
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """All spans of a text, by start, then kind as listed, as (start, kind index, end)."""
     found = base_spans(text)
@@ -99,12 +124,11 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         known = [(a, e) for a, _, e in found]
         for m in CANDIDATE.finditer(text):
-            run, at = m.group(), m.start()
-            if any(p.fullmatch(run) for p in ALLOW):
-                continue
-            for a, e in entropy_windows(run, THRESHOLD[run_class(run)]):
-                if not any(s < at + e and at + a < t for s, t in known):
-                    found.append((at + a, 3, at + e))
+            for at, end in pieces(text, m.start(), m.end(), known):
+                run = text[at:end]
+                if any(p.fullmatch(run) for p in ALLOW):
+                    continue
+                found += [(at + a, 3, at + e) for a, e in entropy_windows(run, THRESHOLD[run_class(run)])]
     return sorted(found)
 
 
