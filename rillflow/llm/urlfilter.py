@@ -8,27 +8,35 @@ canonical links and refreshes found in the pages are edges between urls;
 a connected component with a blocked url blocks its members, unless it also has
 an explicitly allowed one.  A url's own rule always stands.  Else: allow.
 
+Links and refreshes may be relative: they are resolved against the page's base.
+All of them count, with their character references decoded.
+
 Null urls and urls without ``://`` have an empty host and path, no rule, and
-verdict allow; they take no part in edges.  All on the JVM.
+verdict allow; they take no part in edges.  All on the JVM but for the parsing
+of pages that hold the words of such a link.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches, texts_of
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"^[\s\S]*?://([^/?#]*)"
 PATH = r"^[\s\S]*?://[^/?#]*([^?#]*)"
-#: A page's canonical link and its refresh target.
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?i)<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-TARGET = r"""(?i)\burl\s*=\s*["']?([^"'>\s]+)"""
+#: The target of a refresh's content, and what an absolute url begins with.
+TARGET = re.compile(r"""(?is)\s*(?:[\d.]+\s*[;,\s]\s*|.*?(?=\burl\s*=))(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""")
+ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 
 
 @dataclass(frozen=True)
@@ -59,12 +67,61 @@ def own_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+class Links(HTMLParser):
+    """The canonical links and refresh targets of a page as written, and its base."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.base: str | None = None
+        self.targets: list[str] = []
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The library raises at sections with unknown words; in HTML they are comments."""
+        return self.parse_bogus_comment(i, report)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in ("link", "meta", "base"):
+            return
+        own = {k: v or "" for k, v in reversed(attrs)}  # of repeated attributes the first counts
+        if tag == "link" and "canonical" in own.get("rel", "").lower().split():
+            self.targets.append(own.get("href", ""))
+        elif tag == "meta" and own.get("http-equiv", "").strip().lower() == "refresh":
+            found = TARGET.match(own.get("content", ""))
+            self.targets.append(next((x for x in found.groups() if x), "") if found else "")
+        elif tag == "base" and self.base is None:
+            self.base = own.get("href")
+
+
+def resolved(base: str, target: str) -> str | None:
+    """The absolute url of a target, null where there is none."""
+    target = target.strip()
+    if target and not ABSOLUTE.match(target):
+        try:
+            target = urljoin(base, target)
+        except ValueError:
+            return None
+    return target if ABSOLUTE.match(target) else None
+
+
+def page_links(url: str, html: str) -> list[str]:
+    """Absolute targets of the page's canonical links and refreshes, in order."""
+    parser = Links()
+    parser.feed(html)
+    parser.close()
+    base = resolved(url, parser.base or "") or url
+    return [x for t in parser.targets if (x := resolved(base, t))]
+
+
+def _edge_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        edges = [(u, x) for u, h in zip(texts_of(batch, 0), texts_of(batch), strict=True) for x in page_links(u, h)]
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.string()) for i in (0, 1)], ["src", "dst"])
+
+
 def page_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(src, dst) of canonical links and refreshes with absolute targets."""
+    """(src, dst) of all canonical links and refreshes, targets resolved."""
     found = pages.where(F.col(url_col).contains("://")).where(F.lower(html_col).contains("canonical") | F.lower(html_col).contains("http-equiv"))
-    href = lambda tag: F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
-    targets = F.array(href(F.regexp_extract(html_col, CANONICAL, 0)), F.regexp_extract(F.regexp_extract(html_col, REFRESH, 0), TARGET, 1))
-    return found.select(F.col(url_col).alias("src"), F.explode(targets).alias("dst")).where(F.col("dst").contains("://"))
+    return map_batches(found.select(F.col(url_col).alias("src"), F.col(html_col).alias("html")), _edge_kernel, "src string, dst string")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:

@@ -60,6 +60,23 @@ def test_redirects_propagate_blocks(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages, rules, html_col=None).where("page_id = 1").collect()} == {"allow"}
 
 
+def test_links_as_written(spark):
+    """Relative and protocol-relative targets, character references, lists of relations, several tags."""
+    rules = [Rule("block", "bad.org", "/")]
+    link = lambda href, rel="canonical": f'<link rel="{rel}" href="{href}">'
+    refresh = lambda content: f'<meta http-equiv="refresh" content="{content}">'
+    rows = [
+        ("http://a.org/1", link("//bad.org/1")), ("http://a.org/2", refresh("0; url=//bad.org/2")), ("http://a.org/3", link("http://b.org/?x=1&amp;y=2")), ("http://b.org/?x=1&y=2", link("//bad.org/3")),
+        ("http://a.org/4", link("http://bad.org/4", "alternate canonical")), ("http://a.org/5", link("http://a.org/5") + link("http://bad.org/5")), ("http://a.org/d/6", link("../1")),
+        ("http://a.org/7", refresh("5") + refresh("0;URL='/1'")), ("http://a.org/8", '<base href="http://bad.org/d/">' + link("x")), ("http://a.org/9", refresh("0, http://bad.org/9")),
+        ("http://c.org/1", link("/2")), ("http://c.org/2", refresh("3") + link("mailto:x") + link("http://[x")), ("http://c.org/3", link("//bad.org/", "canonical-x")), ("http://c.org/4", link("/go?u=http://bad.org/")),
+    ]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert urlfilter.page_links("http://a.org/1", "<![x]><![y" + link("2") + link("/3")) == ["http://a.org/3"]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, rules).collect()}
+    assert got == {i: "allow" if "c.org" in u else "block" for i, (u, _) in enumerate(rows)}
+
+
 def brute(vectors, queries_, k):
     ids = sorted(vectors)
     v = np.array([vectors[i] for i in ids], float)
