@@ -15,8 +15,8 @@ document with the least id that links reach.
 4. Rest: of buckets that still hold several components, the classes outside
    the least id's component (the rest) are compared with all others of other
    components, in blocks of ``BLOCK`` by ``BLOCK``: first by signature (an
-   estimate ``SLACK`` under the threshold, over 4 standard errors, and no
-   earlier bucket in common), then, of those left, on the full sets, all pairs
+   estimate ``SLACK`` under the threshold, 4.9 standard errors for independent
+   registers, and no earlier bucket in common), then, of those left, on the full sets, all pairs
    of a block at once.  A block gives only the links that join components, so
    no pairs are listed, whatever a group's size, and none is left out.
 5. Union-find over the links (``components``), twice: stars, then rest.
@@ -45,7 +45,7 @@ from .superminhash import WordHashes, mix, shingles, signatures
 #: Registers, and registers a band.
 M, BAND = 96, 4
 #: Classes a side of a block; how far an estimate may lie under the threshold.
-BLOCK, SLACK = 448, 0.15
+BLOCK, SLACK = 448, 0.2
 #: Bytes of a shingle's hash that are kept for verification; chance of one false match in sets of 1,000: 4e-9.
 KEPT = 6
 

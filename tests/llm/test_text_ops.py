@@ -1,11 +1,13 @@
 """Operators over texts: against brute force, round trips, planted cases, and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -286,6 +288,18 @@ def test_near_duplicates_odd_rows(spark, odd, monkeypatch):
     assert sorted(map(str, again.values.tolist())) == sorted(map(str, p.values.tolist()))
 
 
+def test_estimates_far_under_the_threshold():
+    """A pair at the threshold gets to the full sets but for a chance as small as the bands': 58 of 96 registers are enough."""
+    sig = np.arange(neardup.M, dtype="<u2")
+    for equal, wanted in ((62, 2), (58, 2), (57, 0)):
+        near = np.where(np.arange(neardup.M) < equal, sig, sig + 1000).astype("<u2")
+        rows = [(1, 0, 0, 5, True, 5, 100, 1, sig.tobytes(), 0), (1, 0, 0, 6, False, 6, 100, 1, near.tobytes(), 0)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "rc", "oc", "id", "rest", "comp", "n", "leader", "sig", "band"])
+        assert sum(b.num_rows for b in neardup._flag_kernel(80)([batch])) == wanted
+    lost = sum(math.comb(neardup.M, i) * 0.8**i * 0.2 ** (neardup.M - i) for i in range(58))
+    assert lost < (1 - 0.8**neardup.BAND) ** (neardup.M // neardup.BAND)
+
+
 def test_superminhash_by_elements():
     """The vectorised signature is the one of the sequential algorithm, and estimates the similarity."""
     m, mask = 32, (1 << 64) - 1
