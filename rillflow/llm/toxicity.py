@@ -19,7 +19,8 @@ than they are.
 Labels come from at most ``SAMPLE`` labelled rows, drawn by a hash of the id.
 The driver holds 28^3 model counts, the features that at least ``LEAST`` toxic
 documents of that sample share, and five numbers for each of its rows.
-Null text counts as empty; without labels all scores are 0.5.
+Null text counts as empty; without labels all scores are 0.5, and no row is
+rejected.
 """
 
 from __future__ import annotations
@@ -289,7 +290,9 @@ def score_toxicity(docs: DataFrame, fitted: Toxicity, id_col: str = "doc_id", te
 
 
 def reject_toxic(docs: DataFrame, fitted: Toxicity, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows whose score is under the threshold, all columns as they are."""
+    """The rows whose score is under the threshold, or all rows if nothing could be fitted; all columns as they are."""
+    if not fitted.table and not fitted.weights.any():
+        return docs
 
     def keep():
         shares = Shares(fitted.table, fitted.prior, fitted.model)

@@ -376,6 +376,13 @@ def test_classifiers_odd_rows(spark, odd):
     assert quality.score_quality(empty, forest).count() == 0
 
 
+def test_nothing_is_toxic_without_labels(spark, odd):
+    for rows in ([], [(0, None), (2, None)], [(99, 1), (98, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        fitted = toxicity.train_toxicity(odd, labels, F.lit(True))
+        assert toxicity.reject_toxic(odd, fitted, 0.3).count() == odd.count()
+
+
 def test_forest_arrays_equal_walks():
     r = np.random.default_rng(3)
     x = r.normal(size=(500, len(quality.NAMES)))
