@@ -36,6 +36,8 @@ from .common import map_batches, texts_of
 BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head iframe math noscript object script style svg template title".split())
+#: Start tags that leave an open head open; any other, or text, ends it.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Start tags that end an open element of the second set, up to a container.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINER = set("article aside body div dl fieldset figure footer form header main nav ol section table td th ul".split())
@@ -92,7 +94,15 @@ class Blocks(HTMLParser):
             self.links -= tag == "a"
         del self.stack[at:]
 
+    def _end_head(self) -> None:
+        """Close a head that is open with no hidden element open in it."""
+        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in HIDDEN), -1)
+        if at >= 0 and self.stack[at][0] == "head":
+            self._pop(at)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden and tag not in IN_HEAD:
+            self._end_head()
         if tag in BLOCK:
             self._flush()
             for k in range(len(self.stack) - 1, -1, -1):
@@ -135,6 +145,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and not data.isspace():
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
             if self.links:

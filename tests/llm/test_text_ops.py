@@ -444,6 +444,14 @@ def test_extraction():
     assert isinstance(htmltext.extract("<div>" * 3000 + "x" + "</p></b>" * 50, crf), str)
 
 
+def test_head_without_its_end():
+    words = "Some words that are read here, and more of them."
+    for head in ("<head><title>T</title>", "<head><style>p{}</style><noscript><p>no</p></noscript><script>x</script>"):
+        for made in (f"<p>{words}</p>", f"<custom-tag>{words}", words, f"<img src=x>{words}"):
+            assert [b.text for b in htmltext.blocks_of(f"<html>{head}{made}")] == [words], made
+    assert [b.text for b in htmltext.blocks_of(f"<head><template><p>no</p></template> <meta name=x></head><body><p>{words}</body>")] == [words]
+
+
 def test_extraction_query(spark):
     rows = [(1, "u", None, 5), (2, None, "<article><p>Some words of it.</p></article>", 5), (None, "u", "", 5)]
     p = pandas(htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text long")))
