@@ -452,6 +452,12 @@ def test_head_without_its_end():
     assert [b.text for b in htmltext.blocks_of(f"<head><template><p>no</p></template> <meta name=x></head><body><p>{words}</body>")] == [words]
 
 
+def test_digits_of_whole_blocks():
+    block = lambda text: htmltext.Block(text, (), (), 0, 0, 0)
+    for text, wanted in (("x" * 200 + "1" * 200, True), ("1" * 200 + "x" * 800, False), ("12 x", True)):
+        assert (htmltext.INDEX["digits"] in htmltext.active(block(text), 1, 3)) == wanted
+
+
 def test_extraction_query(spark):
     rows = [(1, "u", None, 5), (2, None, "<article><p>Some words of it.</p></article>", 5), (None, "u", "", 5)]
     p = pandas(htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text long")))
