@@ -37,13 +37,15 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Bits a character from which a window counts, by class of the run; log2(20) = 4.32 is the most.
-THRESHOLD = {"hex": 3.1, "mixed": 3.7, "alpha": 4.2}
+THRESHOLD = {"hex": 3.1, "mixed": 3.7, "cased": 3.7, "alpha": 4.2}
+#: Mixed case that words joined by capitals don't have: one small letter between capitals.
+CASED = re.compile(r"[A-Z][a-z][A-Z]")
 #: Runs that are no secrets however varied.
 ALLOW = tuple(
     re.compile(p)
     for p in (
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-        r"[/_=+-]*(?:[A-Za-z]+[/_=+-]+)+[A-Za-z]*",
+        r"(?!.*[A-Z][a-z][A-Z])[/_=+-]*(?:[A-Za-z]+[/_=+-]+)+[A-Za-z]*",
         r"[0-9/_=+-]+",
         r"[A-Za-z][a-z]*",
     )
@@ -76,7 +78,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def run_class(run: str) -> str:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return "hex"
-    return "mixed" if re.search(r"\d", run) and re.search(r"[A-Za-z]", run) else "alpha"
+    if re.search(r"\d", run) and re.search(r"[A-Za-z]", run):
+        return "mixed"
+    return "cased" if CASED.search(run) else "alpha"
 
 
 def entropy_windows(run: str, least: float, window: int = WINDOW) -> list[tuple[int, int]]:

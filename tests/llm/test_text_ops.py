@@ -130,6 +130,16 @@ def test_secrets_beside_known_spans():
         assert not [s for s in secrets.scan(fine) if s[1] == 3], fine
 
 
+def test_secrets_of_letters():
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n, extra, least in ((20, "", 0.8), (32, "", 0.9), (40, "/+", 0.9)):
+        found = sum(any(k == 3 for _, k, _ in secrets.scan("".join(r.choices(letters + extra, k=n)))) for _ in range(500))
+        assert found >= least * 500, (n, found)
+    for fine in ("AbstractSingletonProxyFactoryBean", "Internationalization/and/Localization", "getHttpResponseCodeFromServer", "the-quick-brown-fox-jumps-over-it"):
+        assert not secrets.scan(fine), fine
+
+
 def test_secret_query(odd, docs):
     p = pandas(secrets.scan_texts(docs))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
