@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    """The opN_<name> queries and, if corpus_pipeline.py is there, the pipeline."""
+    """The opN_<name> queries and the pipeline of corpus_pipeline.py."""
     from . import registry
 
     return registry.queries()

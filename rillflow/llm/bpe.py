@@ -10,9 +10,14 @@ one stack of states and a word starts from the depth it shares with the word
 before: a shared prefix is computed once.
 
 Texts are split into words by the vocabulary's own pattern; the encodings of
-distinct words are kept in a cache of bounded size in each Python worker.
-Special tokens' strings in a text become their ids, as in the tokenizers
-library's default.
+distinct words are kept in caches bounded in entries and characters in each
+Python worker.  Special tokens' strings in a text become their ids, as in the
+tokenizers library's default.
+
+Which characters are letters, and their lower case, differs between versions of
+Unicode.  Where only ids are wanted (``LibraryBpe``) each new character beyond
+ASCII is tried on the library itself; texts with one that the library takes
+otherwise are encoded by the whole library.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import Cache, map_batches, texts_of
 
 #: Unicode white space as the library's pattern engine has it, and the two splitting patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -63,8 +68,8 @@ class Coder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = regex.compile(WORD_PATTERN if self.suffix else BYTE_PATTERN)
         self.pieces = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}  # words, as the pattern splits them
-        self.runs: dict[str, bytes] = {}  # what stands between spaces
+        self.known = Cache(CACHE_WORDS)  # words, as the pattern splits them
+        self.runs = Cache(CACHE_RUNS)  # what stands between spaces
         self.load(spec["model"])
 
     def load(self, model: dict) -> None:
@@ -74,23 +79,26 @@ class Coder:
         """The ids of each of the distinct words."""
         raise NotImplementedError
 
-    def learn(self, words: set[str]) -> None:
-        """Put the encodings of words that aren't cached into the cache."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+    def coded(self, words: set[str]) -> dict[str, bytes]:
+        """The encodings of words, new ones put into the cache."""
+        out = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in out]
         for w, ids in zip(new, self.code_words(new), strict=True):
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            packed = out[w] = array("I", ids).tobytes()
+            if self.known.room(len(w)):
+                self.known[w] = packed
+        return out
 
-    def learn_runs(self, runs: set[str]) -> None:
-        if len(self.runs) + len(runs) > CACHE_RUNS:
-            self.runs.clear()
+    def coded_runs(self, runs: set[str]) -> dict[str, bytes]:
+        out = {r: self.runs[r] for r in runs if r in self.runs}
         lead = "" if self.suffix else " "
-        split = {r: self.pattern.findall(lead + r) for r in runs if r not in self.runs}
-        self.learn({w for ws in split.values() for w in ws})
-        get = self.known.__getitem__
+        split = {r: self.pattern.findall(lead + r) for r in runs if r not in out}
+        get = self.coded({w for ws in split.values() for w in ws}).__getitem__
         for r, ws in split.items():
-            self.runs[r] = b"".join(map(get, ws))
+            packed = out[r] = b"".join(map(get, ws))
+            if self.runs.room(len(r)):
+                self.runs[r] = packed
+        return out
 
     # -- texts -----------------------------------------------------------
     def prepare(self, text: str) -> str:
@@ -135,11 +143,7 @@ class Coder:
                     if not isinstance(p, int):
                         words.update(p[0])
                         runs.update(p[1])
-            if not runs <= self.runs.keys():
-                self.learn_runs(runs)
-            if not words <= self.known.keys():
-                self.learn(words)
-            get, get_run = self.known.__getitem__, self.runs.__getitem__
+            get, get_run = self.coded(words).__getitem__, self.coded_runs(runs).__getitem__
             for parts in split:
                 out.append(b"".join(struct.pack("<I", p) if isinstance(p, int) else b"".join((*map(get, p[0]), *map(get_run, p[1]))) for p in parts))
         return out
@@ -270,22 +274,22 @@ class TrieBpe(Coder):
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-class Runs(dict):
+class Runs(Cache):
     """Runs between spaces and their ids' bytes, made when first met: one look-up a run, whatever its text."""
 
     def __init__(self, coder: LibraryBpe):
+        super().__init__(CACHE_RUNS)
         self.coder = coder
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHE_RUNS:
-            self.clear()
         if self.coder.suffix and run[:-1].isalpha() and run[-1] in ".,;:!?":  # the most usual runs need no pattern
             made = self[run[:-1]] + self[run[-1]]
         elif self.coder.suffix and run.isalpha():
             made = self.coder.word(run)
         else:
             made = b"".join(map(self.coder.word, self.coder.pattern.findall(run if self.coder.suffix else " " + run)))
-        self[run] = made
+        if self.room(len(run)):
+            self[run] = made
         return made
 
 
@@ -296,19 +300,42 @@ class LibraryBpe(Coder):
         super().__init__(path)
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
         self.runs = Runs(self)
+        self.usual: dict[str, bool] = {}  # characters beyond ASCII, and whether the library takes them as we do
 
     def load(self, model: dict) -> None:
         self.letters = {b: c for c, b in _byte_alphabet().items()}
 
+    def mapped(self, w: str) -> str:
+        return w.encode().decode("latin-1").translate(self.letters)
+
     def word(self, w: str) -> bytes:
-        mapped = w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(w if w.isascii() and w.isalnum() else self.mapped(w))]).tobytes()
+
+    def alike(self, c: str) -> bool:
+        """Whether the library normalises a character and splits next to it as we do.  What this Python's Unicode doesn't know counts as unlike, as it may combine with others."""
+        own = self.usual.get(c)
+        if own is None:
+            own = unicodedata.category(c) != "Cn"
+            for probe in (f"a{c}a", f"1{c}1", f"-{c}-", c + c):
+                norm = self.prepare(probe)
+                if self.library.normalizer is not None:
+                    own = own and " ".join(norm.split()) == " ".join(self.library.normalizer.normalize_str(probe).split())
+                if self.library.pre_tokenizer is not None:
+                    own = own and list(map(self.mapped, self.pattern.findall(norm))) == [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+            self.usual[c] = own
+        return own
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out, get = [], self.runs.__getitem__
         for text in texts:
+            if not text.isascii() and not all(map(self.alike, {c for c in set(text) if c > "\x7f"})):
+                out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
             made = []
             for p in self.parts(text):
                 if isinstance(p, int):

@@ -6,9 +6,13 @@ Conventions of every operator here:
   columns, whatever they are called, are neither read nor in the way), and
   returns a new DataFrame;
 * a kernel is a function of an iterator of Arrow batches, run by mapInArrow; it
-  holds one batch at a time plus caches of a fixed size;
+  sees slices bounded in rows and bytes (a single longer text is a slice of its
+  own), plus caches bounded in bytes; Spark's settings stay as they are;
 * intermediate results that are used twice are written once, as Parquet, to the
   shared folder (``materialize``) and so outlive the executors that made them.
+  All of an application's lie in one folder there, which goes when the
+  application ends; ``clean_up`` removes it earlier, once no result that was
+  made from it is still to be computed.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from pyspark.sql.types import StructType
 
 #: Tables of up to so many ids (up to 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
-#: Rows an Arrow batch; with the longest texts seen (about 0.1 MB) some 30 MB.
-BATCH_ROWS = 256
+#: Rows and bytes of a slice that a kernel sees.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -37,11 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset the context's checkpoint folder, or, in local runs only, one of our own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own_dir()
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
@@ -53,12 +58,27 @@ def _own_dir() -> str:
     return made
 
 
+def _scratch(spark: SparkSession) -> tuple[str, object, object]:
+    """The application's folder for written tables, as text and as Hadoop path, and its file system."""
+    folder = f"{shared_dir(spark).rstrip('/')}/rillflow-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return folder, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, path, files = _scratch(spark)
+    files.deleteOnExit(path)
+    written = f"{folder}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(written)
+    return spark.read.schema(df.schema).parquet(written)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that this application has written to the shared folder."""
+    _, path, files = _scratch(spark)
+    files.delete(path, True)
 
 
 def few(written: DataFrame) -> DataFrame:
@@ -69,10 +89,44 @@ def few(written: DataFrame) -> DataFrame:
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of at most SLICE_ROWS rows, and at most about SLICE_BYTES bytes or one row; a batch without rows stays."""
+    for batch in batches:
+        rows = batch.num_rows
+        at = 0
+        while at < rows:
+            n = min(SLICE_ROWS, rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > SLICE_BYTES:
+                n = n + 1 >> 1
+            yield batch.slice(at, n)
+            at += n
+        if not rows:
+            yield batch
+
+
 def map_batches(df: DataFrame, kernel: Kernel, schema: str | StructType) -> DataFrame:
-    """mapInArrow with small batches; whole texts stay whole."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(kernel, schema)
+    """mapInArrow whose kernel sees slices; whole texts stay whole."""
+    return df.mapInArrow(lambda batches: kernel(slices(batches)), schema)
+
+
+class Cache(dict):
+    """A dict of strings (or what holds strings) that starts anew when it holds as many entries or characters as it may.
+
+    ``room(size)`` is asked before something of that size goes in; things over a
+    hundredth of the bound aren't worth keeping and get no room.
+    """
+
+    def __init__(self, entries: int, characters: int = 32 << 20):
+        self.entries, self.characters, self.held = entries, characters, 0
+
+    def room(self, size: int) -> bool:
+        if size * 100 > self.characters:
+            return False
+        if len(self) >= self.entries or self.held + size > self.characters:
+            self.clear()
+            self.held = 0
+        self.held += size
+        return True
 
 
 def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
