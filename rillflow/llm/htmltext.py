@@ -42,6 +42,9 @@ IN_HEAD = set("base basefont bgsound head html link meta noframes noscript scrip
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINER = set("article aside body div dl fieldset figure footer form header main nav ol section table td th ul".split())
 
+#: Open elements that a start tag may end, or at which its search for them ends.
+STOPS = CONTAINER | {"p"} | {x for ends in ENDS.values() for x in ends}
+
 #: Words in class, id and role, by what they speak for (fixed lists).
 HINTS = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc tabs pager pagination skip",
@@ -58,78 +61,121 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "p", "li", "table", "blockquote", "pre", "figure", "button", "h1", "h", "dialog", "menu", "label", "a")
 
 
+_BIT = {t: 1 << k for k, t in enumerate(dict.fromkeys((*(t for t in _TAGS if t not in ("h1", "h")), "h1", "h2", "h3", "h4", "h5", "h6")))}
+_HINT_BIT = {h: 1 << k for k, h in enumerate(HINTS)}
+
+
 @dataclass
 class Block:
+    """A leaf: its text, bits of its ancestors' tags and hints, the number of the container that holds it, characters in links, label."""
+
     text: str
-    tags: tuple[str, ...]
-    hints: tuple[str, ...]
+    tags: int
+    hints: int
     parent: int
     linked: int
     label: int
 
 
-class Blocks(HTMLParser):
-    """Leaf blocks of a page, in order."""
+@dataclass(slots=True)
+class Element:
+    """An open element.  What it inherits is kept in it, and ``stop`` and ``hides`` say where the nearest elements lie (itself included) at which a search up the stack ends, so no step costs more the deeper the page."""
 
-    def __init__(self, labels: bool = False):
+    tag: str
+    tags: int = 0
+    hints: int = 0
+    holder: int = 0
+    label: int = 0
+    stop: int = -1
+    hides: int = -1
+
+
+_ROOT = Element("")
+
+class PageParser(HTMLParser):
+    """The library's parser for whole pages, fed at once: sections with unknown words are comments, and an open comment reaches to the end, as in HTML."""
+
+    def __init__(self):
         super().__init__(convert_charrefs=True)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
+
+class Blocks(PageParser):
+    """Leaf blocks of a page, in order; time and memory are linear in the page."""
+
+    def __init__(self, labels: bool = False):
+        super().__init__()
         self.labels = labels
-        self.stack: list[tuple[str, tuple[str, ...], int, int]] = []  # tag, hints, number, label
+        self.stack: list[Element] = []
+        self.open: dict[str, int] = {}
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.linked, self.hidden, self.links, self.number = 0, 0, 0, 0
+        self.linked, self.number = 0, 0
+
+    @property
+    def hidden(self) -> int:
+        """The place of the innermost open element whose text isn't rendered, or -1."""
+        return self.stack[-1].hides if self.stack else -1
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                tags, hints = tuple(s[0] for s in self.stack), tuple(dict.fromkeys(h for s in self.stack for h in s[1]))
-                holder = next((s[2] for s in reversed(self.stack) if s[0] in CONTAINER), 0)
-                self.blocks.append(Block(text, tags, hints, holder, self.linked, max((s[3] for s in self.stack), default=0)))
+                at = self.stack[-1] if self.stack else _ROOT
+                self.blocks.append(Block(text, at.tags, at.hints, at.holder, self.linked, at.label))
             self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
-        for tag, *_ in self.stack[at:]:
-            self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
+        for e in self.stack[at:]:
+            self.open[e.tag] -= 1
         del self.stack[at:]
 
     def _end_head(self) -> None:
         """Close a head that is open with no hidden element open in it."""
-        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in HIDDEN), -1)
-        if at >= 0 and self.stack[at][0] == "head":
+        at = self.hidden
+        if at >= 0 and self.stack[at].tag == "head":
             self._pop(at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.hidden and tag not in IN_HEAD:
+        if tag not in IN_HEAD:
             self._end_head()
         if tag in BLOCK:
             self._flush()
-            for k in range(len(self.stack) - 1, -1, -1):
-                open_tag = self.stack[k][0]
-                if open_tag == "p" or open_tag in ENDS.get(tag, ()):
+            ends = ENDS.get(tag, ())
+            k = self.stack[-1].stop if self.stack else -1
+            while k >= 0:
+                open_tag = self.stack[k].tag
+                if open_tag == "p" or open_tag in ends:
                     self._pop(k)
                     break
-                if open_tag in CONTAINER and not (tag in ENDS and open_tag in ENDS[tag]):
+                if open_tag in CONTAINER:
                     break
+                k = self.stack[k - 1].stop if k else -1
         elif tag == "br":
             self.parts.append("\n")
         if tag in VOID:
             return
-        if tag == "body":
-            self._pop(next((k for k, s in enumerate(self.stack) if s[0] in HIDDEN), len(self.stack)))
-        hints: tuple[str, ...] = ()
-        label = 0
+        if tag == "body" and self.hidden >= 0:
+            self._pop(next(k for k, e in enumerate(self.stack) if e.tag in HIDDEN))
+        above, place = self.stack[-1] if self.stack else _ROOT, len(self.stack)
+        hints, label = above.hints, above.label
         if attrs:
             words = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
             if words:
-                hints = tuple(_HINT[w] for w in _SPLIT.split(words) if w in _HINT)
-            if self.labels:
-                label = int(any(k == "data-label" for k, _ in attrs))
+                for w in _SPLIT.split(words):
+                    if w in _HINT:
+                        hints |= _HINT_BIT[_HINT[w]]
+            if self.labels and any(k == "data-label" for k, _ in attrs):
+                label = 1
         self.number += 1
-        self.hidden += tag in HIDDEN
-        self.links += tag == "a"
-        self.stack.append((tag, hints, self.number, label))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.stack.append(Element(tag, above.tags | _BIT.get(tag, 0), hints, self.number if tag in CONTAINER else above.holder, label, place if tag in STOPS else above.stop, place if tag in HIDDEN else above.hides))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -139,17 +185,18 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop(k)
-                return
+        if self.open.get(tag):
+            k = len(self.stack) - 1
+            while self.stack[k].tag != tag:
+                k -= 1
+            self._pop(k)
 
     def handle_data(self, data: str) -> None:
-        if self.hidden and not data.isspace():
+        if not data.isspace():
             self._end_head()
-        if not self.hidden:
+        if self.hidden < 0:
             self.parts.append(data)
-            if self.links:
+            if self.open.get("a"):
                 self.linked += len(data)
 
 
@@ -168,23 +215,24 @@ NAMES = [
     "links_none", "links_some", "links_most", "ends_sentence", "commas", "copyright", "capitals", "digits", "first", "last",
 ]
 INDEX = {n: i for i, n in enumerate(NAMES)}
-_BAD_TAGS, _BAD_HINTS = {"nav", "footer", "aside", "form", "button", "dialog", "menu"}, {"menu", "foot", "side", "ad", "note", "talk"}
+_bits = lambda names, table=_BIT: sum(table[n] for n in names.split())
+_BAD_TAGS, _BAD_HINTS = _bits("nav footer aside form button dialog menu"), _bits("menu foot side ad note talk", _HINT_BIT)
+_HEADINGS, _INSIDE, _HEADER, _FRAME = _bits("h1 h2 h3 h4 h5 h6"), _bits("article main"), _bits("header"), _bits("article main nav header footer aside form")
+_TAG_FEATURES, _HINT_FEATURES = [(_BIT[t], f"in_{t}") for t in _TAGS if t in _BIT], [(bit, f"hint_{h}") for h, bit in _HINT_BIT.items()]
 
 
 def active(b: Block, k: int, n: int) -> list[int]:
     """Indices of the block's features (all 0/1)."""
-    tags, hints = set(b.tags), set(b.hints)
-    on = ["bias", *(f"hint_{h}" for h in hints)]
-    on += [f"in_{t}" for t in _TAGS if t in tags]
-    heading = tags & {"h1", "h2", "h3", "h4", "h5", "h6"}
-    if heading:
+    tags, hints = b.tags, b.hints
+    on = ["bias", *(name for bit, name in _HINT_FEATURES if hints & bit), *(name for bit, name in _TAG_FEATURES if tags & bit)]
+    if tags & _HEADINGS:
         on.append("in_h")
-    inside = bool(tags & {"article", "main"})
+    inside = tags & _INSIDE
     if inside and not tags & _BAD_TAGS and not hints & _BAD_HINTS:
         on.append("article_only")
-    if inside and "header" in tags:
+    if inside and tags & _HEADER:
         on.append("article_header")
-    if not hints and not tags & {"article", "main", "nav", "header", "footer", "aside", "form"}:
+    if not hints and not tags & _FRAME:
         on.append("bare")
     words = b.text.count(" ") + 1
     on.append(next((f"words_{s}" for s in _STEPS if words <= s), "words_more"))

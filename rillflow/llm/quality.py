@@ -9,7 +9,9 @@ The trees are fitted on labelled rows only, at most ``SAMPLE`` of them, drawn by
 a hash of the id (a documented bound on what the driver holds: SAMPLE rows of
 statistics).  Neither labels nor other columns are inputs of a score.  Without
 usable labels all scores are 0.5; with one class only, its smoothed share.
-Null text counts as empty and gets a score like any other; null labels are no labels.
+Null text counts as empty and gets a score like any other; null labels are no
+labels.  Repeated labels of an id all count; ids of more than ``OFTEN``
+documents are not learned from, so what the driver holds stays bounded.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import crc_mod, keep_rows, map_batches, texts_of
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
+#: Ids that more documents have aren't learned from: their labels say little of any one of them.
+OFTEN = 8
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 80, 4, 64, 0.15, 1.0, 2.0
 
 _SYMBOLS = "|!&%$#*@=<>{}[]()_/\\~^+:;,.?-'\""
@@ -142,8 +146,10 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     if total > 2 * sample:
         share = int(1_000_000 * (1.1 * sample + 100) / total)
         drawn = drawn.where(F.pmod(F.xxhash64(F.lit(18), "id"), F.lit(1_000_000)) < share)
-    drawn = drawn.orderBy(F.xxhash64(F.lit(17), "id"), "id", "y").limit(sample)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    drawn = F.broadcast(drawn.orderBy(F.xxhash64(F.lit(17), "id"), "id", "y").limit(sample))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    often = texts.select("id").join(drawn.select("id").distinct(), "id").groupBy("id").count().where(F.col("count") > OFTEN).select("id")
+    return texts.join(drawn, "id").join(F.broadcast(often), "id", "left_anti")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:

@@ -25,13 +25,13 @@ TOKENIZERS = "/opt/tokenizers"
 #: Exact search; equal where the trees miss nothing, as on the tables of the driver's comparison.
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
 u AS (
-  SELECT vec_id, e, list_dot_product(e, e) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, e, list_dot_product(e, e) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(q.n) * sqrt(c.n)) AS score
-  FROM u q JOIN u c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0 AND q.n > 0 AND c.n > 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(q.n) * sqrt(c.n)) AS score
+  FROM u q JOIN u c ON c.r <> q.r AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0 AND q.n > 0 AND c.n > 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -20,12 +20,14 @@ Labels come from at most ``SAMPLE`` labelled rows, drawn by a hash of the id.
 The driver holds 28^3 model counts, the features that at least ``LEAST`` toxic
 documents of that sample share, and five numbers for each of its rows.
 Null text counts as empty; without labels all scores are 0.5, and no row is
-rejected.
+rejected.  Repeated labels of an id all count; ids of more than ``quality.OFTEN``
+documents are not learned from.
 """
 
 from __future__ import annotations
 
 import math
+import os.path
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_batches, materialize, texts_of
+from .common import Cache, keep_rows, map_batches, materialize, texts_of
 from .quality import labelled
 
 #: Labelled rows that are learned from; toxic documents a feature needs; words that a worker keeps.
@@ -54,7 +56,9 @@ STAND_IN, HIDDEN, LITERAL, APART, TWICE, AGAIN = -0.7, -2.5, -8.0, -0.4, -4.0, -
 LETTERS = 28  # boundary, a-z, any other letter
 OTHER = 27
 _CODES = bytes(ord(chr(b).lower()) - 96 if "a" <= chr(b).lower() <= "z" else OTHER if b >= 0xC0 and b not in (0xD7, 0xF7) else 0 for b in range(256))
-_EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$|+€£]+$|^([@$!|+(])\1+|([@$|+€£])\2+[^\w]*$")
+#: Symbols that may stand for a first or a last letter, and what they stand among.
+_HEAD, _TAIL = "@$!|+(", "@$|+€£"
+_LEAD = re.compile(r"[^\w@$!|+(€£¡]+|([@$!|+(])\1+")
 _ODD = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£¡*]|.*[^\W_][.\-_*~·^'`,:;/]+[^\W_]|.*([^\W\d_])\1\1)", re.DOTALL)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -101,8 +105,13 @@ def arcs(chars: str, i: int) -> list[tuple[str, float]]:
 
 
 def restore(chars: str, model: list[float]) -> str:
-    """The likeliest written form of a lower-case word: Viterbi over the lattice, states being the last two letters."""
+    """The likeliest written form of a lower-case word: Viterbi over the lattice, states being the last two letters.
+
+    What all paths agree on is written out as it comes, so a state holds a short
+    string and time is linear in the word's length.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    done: list[str] = []
     for i in range(len(chars)):
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for letter, cost in arcs(chars, i):
@@ -113,7 +122,26 @@ def restore(chars: str, model: list[float]) -> str:
                 if to not in nxt or q > nxt[to][0]:
                     nxt[to] = (q, made + letter)
         states = nxt
-    return max((p + model[(a * LETTERS + b) * LETTERS], made) for (a, b), (p, made) in states.items())[1]
+        if i & 63 == 63:
+            same = len(os.path.commonprefix([made for _, made in states.values()]))
+            if same:
+                done.append(next(iter(states.values()))[1][:same])
+                states = {k: (p, made[same:]) for k, (p, made) in states.items()}
+    return "".join(done) + max((p + model[(a * LETTERS + b) * LETTERS], made) for (a, b), (p, made) in states.items())[1]
+
+
+def core(token: str) -> str:
+    """A token without the marks around it: all but word characters and symbols that may be letters, and symbols that are repeated at an edge (``!!!``)."""
+    lead = _LEAD.match(token)
+    at = lead.end() if lead else 0
+    end = len(token)
+    while end > at and not (token[end - 1].isalnum() or token[end - 1] == "_"):
+        end -= 1
+    tail = token[end:]
+    doubled = next((k for k in range(len(tail) - 1) if tail[k] == tail[k + 1] and tail[k] in _TAIL), None)
+    if doubled is None:
+        doubled = next((k + 1 for k in range(len(tail) - 1, -1, -1) if tail[k] in _TAIL), 0)
+    return token[at : end + doubled]
 
 
 def tokens(text: str) -> set[str]:
@@ -131,16 +159,15 @@ def tokens(text: str) -> set[str]:
     return out
 
 
-def forms(token: str, model: list[float]) -> set[str]:
-    """The words of a token as written and, where it looks obfuscated, as restored."""
-    core = _EDGE.sub("", token)
-    out = set(_WORD.findall(token))
-    if " " in core:  # where the word begins and ends isn't known
-        for w in _WORD.findall(restore(core, model)):
-            out.update(w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 12) + 1))
-    elif _ODD.match(core):
-        out.update(_WORD.findall(restore(core, model)))
-    return out
+def forms(token: str, model: list[float]) -> Iterator[str]:
+    """The words of a token as written and, where it looks obfuscated, as restored; some may come twice."""
+    bare = core(token)
+    yield from _WORD.findall(token)
+    if " " in bare:  # where the word begins and ends isn't known
+        for w in _WORD.findall(restore(bare, model)):
+            yield from (w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 12) + 1))
+    elif _ODD.match(bare):
+        yield from _WORD.findall(restore(bare, model))
 
 
 def features(word: str) -> list[int]:
@@ -152,10 +179,11 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x) >> 1 for x in made]
 
 
-class Shares(dict):
+class Shares(Cache):
     """token -> the toxicity of its most toxic feature; bounded."""
 
     def __init__(self, table: dict[int, tuple[int, int]], prior: float, model: list[float]):
+        super().__init__(CACHE_WORDS)
         self.table, self.prior, self.model = table, prior, model
 
     def best(self, token: str, y: int | None = None) -> float:
@@ -172,9 +200,9 @@ class Shares(dict):
         return most if most >= FLOOR else 0.0
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        v = self[token] = self.best(token)
+        v = self.best(token)
+        if self.room(len(token)):
+            self[token] = v
         return v
 
 
@@ -239,7 +267,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     sample = materialize(labelled(docs, labels, id_col, text_col, label_col, train, SAMPLE), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, list[int]] = {}
+        made = Cache(CACHE_WORDS, 8 << 20)
         for batch in batches:
             found, toxic = [], []
             for t, y in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True):
@@ -247,9 +275,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
                 for w in tokens(t):
                     fs = made.get(w)
                     if fs is None:
-                        if len(made) >= CACHE_WORDS:
-                            made.clear()
-                        fs = made[w] = [f for word in forms(w, model) for f in features(word)]
+                        fs = {f for word in forms(w, model) for f in features(word)}
+                        if made.room(len(w)):
+                            made[w] = fs
                     own.update(fs)
                 found.append(np.fromiter(own, np.int64, len(own)))
                 toxic.append(np.full(len(own), y, np.int64))

@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of
 from .components import components
+from .htmltext import PageParser
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"^[\s\S]*?://([^/?#]*)"
@@ -67,18 +67,14 @@ def own_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-class Links(HTMLParser):
+class Links(PageParser):
     """The canonical links and refresh targets of a page as written, and its base."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.base: str | None = None
         self.targets: list[str] = []
 
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """The library raises at sections with unknown words; in HTML they are comments."""
-        return self.parse_bogus_comment(i, report)
-
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in ("link", "meta", "base"):
             return

@@ -1,23 +1,32 @@
 """Approximate nearest neighbours by vantage-point trees, one a shard.
 
 Vectors are scaled to unit length, where the euclidean distance orders like the
-cosine.  Rows are dealt to shards by a hash of their id, so neither equal nor
-near vectors crowd a shard; each shard builds one tree.  A node has a vantage
-point and the median distance to it; the near half lies inside.  A query goes
-to the nearer side first and to the other only if the triangle inequality
-leaves room there for something nearer than its k-th best so far, whose
-distance is multiplied by ``factor``: 1 gives exact search, less prunes more.
-Queries travel in blocks; all of a block's queries go down a tree together.
-
-Each shard's best k of a query are merged by a window over shards * k rows; the
-scores are cosines in double precision on the original vectors.  Vectors that
-are null, zero, or hold null or non-finite components take no part, nor do rows
-without an id.  A repeated id may be found more than once.  Shards grow in
-number with the table, so a tree's size is bounded.
+cosine.  Distinct rows are dealt to shards by a hash of id and vector, so
+neither equal nor near vectors nor a repeated id crowd a shard.  A shard's rows
+come to its task first and become one tree, built once; then the queries stream
+through it.  A node has a vantage point and the median distance to it; the near
+half lies inside.  A query goes to the nearer side first and to the other only
+if the triangle inequality leaves room there for something nearer than its k-th
+best so far, whose distance is multiplied by ``factor``: 1 gives exact search,
+less prunes more.  All queries of a slice go down a tree together.
+
+Scores are cosines in double precision, computed where a leaf holds something
+that may be among the best; ties go to the smaller id, exactly: vectors that
+differ by a power of two only have equal scores and are one point of the tree,
+with its k + 1 least ids.  A query's k best in each shard are merged by a window
+over shards * k rows.
+
+Vectors that are null, zero, or hold null or non-finite components take no
+part, nor do rows without an id.  Equal rows (id and vector) count once; a
+repeated id with several vectors is as many rows, each a query of its own and a
+candidate of the others.  Shards grow in number with the table, so a tree's
+size is bounded; every query visits every shard, as a shard is a random part of
+the rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Rows a shard, queries a block, rows a leaf.
-SHARD, QUERIES, LEAF = 16_384, 2_048, 64
-#: Points beyond k + 1 that a tree gives: nearly equal distances may change places in double precision.
-SPARE = 2
+#: Rows a shard, points a leaf.
+SHARD, LEAF = 16_384, 64
 #: Share of the k-th distance that must fit for a branch to be searched.
 FACTOR = 0.8
-#: Room for rounding in the pruning test.
-EPS = 1e-6
+#: Room for rounding in the pruning test, and in scores before they are computed exactly.
+EPS, NEARLY = 1e-6, 1e-9
 
 
 @dataclass
@@ -49,14 +56,24 @@ class Node:
 
 
 class VpTree:
-    """A tree over unit vectors; ``order`` permutes rows so that a node is a range."""
-
-    def __init__(self, unit: np.ndarray, seed: int = 1):
-        self.order = np.arange(len(unit))
+    """A tree over rows of one length; ``order`` permutes points so that a node is a range.  ``compared`` counts the distances that were computed."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, seed: int = 1):
+        by_id = np.argsort(ids, kind="stable")
+        scaled, exponents = scale(vectors[by_id])
+        _, first, point_of = np.unique(as_bytes(scaled), return_index=True, return_inverse=True)
+        self.k, self.scaled = k, scaled[first]
+        self.unit = self.scaled / np.sqrt((self.scaled * self.scaled).sum(axis=1, keepdims=True))
+        # the k + 1 least ids of each point (by_id is sorted, and the sort below stable)
+        rows = np.argsort(point_of, kind="stable")
+        starts = np.searchsorted(point_of[rows], np.arange(len(first)))
+        self.held = np.minimum(np.diff(np.append(starts, len(rows))), k + 1)
+        self.start, self.ids, self.exponents = starts, ids[by_id][rows], exponents[rows]
+        self.order = np.arange(len(first))
         self.rng = np.random.default_rng(seed)
-        self.unit = unit
-        self.root = self._build(0, len(unit))
-        self.rows = unit[self.order]  # leaves are contiguous
+        self.compared = 0
+        self.root = self._build(0, len(first))
+        self.rows = self.unit[self.order]  # leaves are contiguous
 
     def _build(self, lo: int, hi: int) -> Node:
         if hi - lo <= LEAF:
@@ -69,18 +86,36 @@ class VpTree:
         self.order[lo:hi] = own[part]
         return Node(lo, hi, point, float(d[part[half]]), self._build(lo, lo + half), self._build(lo + half, hi))
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and row numbers of the k nearest found of each query, unordered; missing ones are infinite and -1."""
-        best = np.full((len(queries), k), np.inf)
-        found = np.full((len(queries), k), -1, np.int64)
+    def search(self, ids: np.ndarray, vectors: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the k nearest found of each query (a row is not its own neighbour), best first; missing ones have score -inf."""
+        k = self.k
+        scaled, exponents = scale(vectors)
+        unit = scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+        best = np.full((len(ids), k), -np.inf)
+        found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
         def leaf(node: Node, q: np.ndarray) -> None:
-            d = np.concatenate([best[q], distances(queries[q], self.rows[node.lo : node.hi])], axis=1)
-            i = np.concatenate([found[q], np.broadcast_to(self.order[node.lo : node.hi], (len(q), node.hi - node.lo))], axis=1)
-            if d.shape[1] > k:
-                top = np.argpartition(d, k - 1, axis=1)[:, :k]
-                d, i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
-            best[q], found[q] = d, i
+            near = unit[q] @ self.rows[node.lo : node.hi].T
+            self.compared += near.size
+            least = best[q, -1]
+            if near.shape[1] > k + 1:
+                least = np.maximum(least, np.partition(near, -(k + 1), axis=1)[:, -(k + 1)])
+            at, col = np.nonzero(near >= least[:, None] - NEARLY)
+            if not len(at):
+                return
+            at, point = q[at], self.order[node.lo + col]
+            score = cosines(scaled[at], self.scaled[point])
+            times = self.held[point]
+            row = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.start[point], times)
+            own = np.repeat((scaled[at] == self.scaled[point]).all(axis=1), times) & (self.ids[row] == np.repeat(ids[at], times)) & (self.exponents[row] == np.repeat(exponents[at], times))
+            at, score, row = np.repeat(at, times)[~own], np.repeat(score, times)[~own], row[~own]
+            met = np.unique(at)
+            who = np.concatenate([np.repeat(met, k), at])
+            scores, names = np.concatenate([best[met].ravel(), score]), np.concatenate([found[met].ravel(), self.ids[row]])
+            order = np.lexsort((names, -scores, who))
+            rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+            top = order[rank < k]
+            best[met], found[met] = scores[top].reshape(-1, k), names[top].reshape(-1, k)
 
         def visit(node: Node, q: np.ndarray) -> None:
             if not len(q):
@@ -88,18 +123,31 @@ class VpTree:
             if node.point is None:
                 leaf(node, q)
                 return
-            gap = distances(queries[q], node.point[None])[:, 0] - node.radius
+            self.compared += len(q)
+            gap = distances(unit[q], node.point[None])[:, 0] - node.radius
             near = gap < 0
             for side, other in ((True, node.outside), (False, node.inside)):
                 visit(node.inside if side else node.outside, q[near == side])
                 mine = near == side
-                reach = best[q[mine]].max(axis=1) * factor + EPS
+                reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best[q[mine], -1])) * factor + EPS
                 visit(other, q[mine][np.abs(gap[mine]) <= reach])
 
-        visit(self.root, np.arange(len(queries)))
+        visit(self.root, np.arange(len(ids)))
         return best, found
 
 
+def scale(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors times a power of two each, so that the largest component lies in [0.5, 1), and the exponents; cosines stay the same to the last bit, and no square overflows."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1))[1]
+    return np.ldexp(vectors, -exponents[:, None]) + 0.0, exponents
+
+
+def as_bytes(vectors: np.ndarray) -> np.ndarray:
+    """One value a row, equal for equal rows."""
+    flat = np.ascontiguousarray(vectors)
+    return flat.view(np.dtype((np.void, flat.itemsize * flat.shape[1]))).reshape(-1)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of unit vectors."""
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
@@ -123,71 +171,53 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & good & F.exists(v, lambda x: x != 0)
 
 
+def by_width(batch: pa.RecordBatch, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors of each length that occurs; vectors of different lengths can't be compared."""
+    column = batch.column(batch.schema.get_field_index(vector))
+    widths = np.diff(column.offsets.to_numpy())
+    for width in np.unique(widths):
+        same = np.flatnonzero(widths == width)
+        yield same, column.take(pa.array(same)).flatten().to_numpy().reshape(-1, width)
+
+
 def nearest(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = FACTOR) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which queries (a condition on the id column) holds, itself excepted."""
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("is_query")).where(F.col("id").isNotNull() & usable("v"))
-    total, asked = own.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
-    shards, blocks = max(1, -(-total // SHARD)), max(1, -(-asked // QUERIES))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = own.withColumn("shard", deal(shards, 3)).withColumn("block", every(blocks)).select("shard", "block", F.lit(False).alias("q"), "id", "v")
-    asks = own.where("is_query").withColumn("block", deal(blocks, 4)).withColumn("shard", every(shards)).select("shard", "block", F.lit(True).alias("q"), "id", "v")
+    own = own.dropDuplicates(["id", "v"])
+    shards = max(1, -(-own.count() // SHARD))
+    base = own.select(F.pmod(F.xxhash64(F.lit(3), "id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("q"), "id", "v")
+    asks = own.where("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("q"), "id", "v")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, part = None, []
-
-        def result() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(part)
-            is_q = t["q"].to_numpy()
-            ids = t["id"].to_numpy()
-            flat = t["v"].combine_chunks()
-            widths = np.diff(flat.offsets.to_numpy())
-            for width in np.unique(widths):  # vectors of another length can't be compared
-                same = widths == width
-                values = flat.filter(pa.array(same)).flatten().to_numpy().reshape(-1, width)
-                mine, asked_ = ids[same], is_q[same]
-                order = np.argsort(mine, kind="stable")
-                values, mine, asked_ = values[order], mine[order], asked_[order]
-                if not asked_.any() or asked_.all():
-                    continue
-                scale = np.abs(values).max(axis=1, keepdims=True)
-                unit = values / scale
-                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                data, data_ids = values[~asked_], mine[~asked_]
-                want, want_ids = values[asked_], mine[asked_]
-                # equal vectors are one point of the tree; its least ids stand for it
-                raw = np.ascontiguousarray(data).view(np.dtype((np.void, data.itemsize * width))).reshape(-1)
-                _, first_at, point_of = np.unique(raw, return_index=True, return_inverse=True)
-                by_point = np.argsort(point_of, kind="stable")
-                starts = np.searchsorted(point_of[by_point], np.arange(len(first_at)))
-                held = np.minimum(np.diff(np.append(starts, len(data))), k + 1)
-                _, i = VpTree(unit[~asked_][first_at]).search(unit[asked_], k + 1 + SPARE, factor)
-                rows_, col = np.nonzero(i >= 0)
-                point = i[rows_, col]
-                times = held[point]
-                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                rows_, hit = np.repeat(rows_, times), by_point[np.repeat(starts[point], times) + within]
-                other = data_ids[hit] != want_ids[rows_]
-                rows_, hit = rows_[other], hit[other]
-                score = cosines(want[rows_], data[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(want_ids[rows_]), pa.array(data_ids[hit]), pa.array(score)], ["query_id", "vec_id", "score"])
-
+        shard, held, trees = None, [], None
         for batch in batches:
-            ks = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-            cuts = [0, *(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            place = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi == lo:
+                part = batch.slice(lo, hi - lo)
+                now, asking = divmod(int(place[lo]), 2)
+                if now != shard:
+                    shard, held, trees = now, [], None
+                if not asking:
+                    held.append(part)
                     continue
-                now = tuple(ks[:, lo])
-                if now != key:
-                    if part:
-                        yield from result()
-                    key, part = now, []
-                part.append(batch.slice(lo, hi - lo))
-        if part:
-            yield from result()
-
-    dealt = base.unionByName(asks).repartition("shard", "block").sortWithinPartitions("shard", "block")
-    found = map_batches(dealt, kernel, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+                if trees is None:
+                    trees = {}
+                    if held:
+                        data = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                        ids = data.column(2).to_numpy()
+                        trees = {v.shape[1]: VpTree(ids[at], v, k) for at, v in by_width(data, "v")}
+                    held = []
+                ids = part.column(2).to_numpy()
+                for at, v in by_width(part, "v"):
+                    if v.shape[1] not in trees:
+                        continue
+                    score, found = trees[v.shape[1]].search(ids[at], v, factor)
+                    who, col = np.nonzero(score > -np.inf)
+                    key = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in v]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at][who]), pa.array(np.array(key, np.int64)[who]), pa.array(found[who, col]), pa.array(score[who, col])], ["query_id", "query_row", "vec_id", "score"])
+
+    dealt = base.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "q")
+    found = map_batches(dealt, kernel, "query_id long, query_row long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

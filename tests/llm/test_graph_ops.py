@@ -92,7 +92,6 @@ def brute(vectors, queries_, k):
 
 def test_search(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD", 150)
-    monkeypatch.setattr(vptree, "QUERIES", 10)
     r = np.random.default_rng(4)
     vectors = {i: r.normal(size=8).tolist() for i in range(1, 500)} | {i: [float(x) for x in range(1, 9)] for i in range(500, 620)}
     bad = [(900, None), (950, [0.0] * 8), (1000, [float("nan")] * 8), (1050, [1.0, None] + [1.0] * 6), (1100, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)]
@@ -112,27 +111,35 @@ def test_search(spark, monkeypatch):
     assert vptree.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("factor", [1.0, vptree.FACTOR])
+def test_search_ties_and_repeated_ids(spark, factor):
+    """Parallel vectors are ties by id; equal rows count once; a repeated id's rows are neighbours of each other."""
+    get = lambda rows: [tuple(x) for x in vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, factor=factor).orderBy("query_id", "rank", "vec_id").collect()]
+    one = [0.25, -3.0, 1.5]
+    assert [(r, i, s) for _, r, i, s in get([(i, [x * 2.0 ** (i % 7 - 3) for x in one]) for i in range(40)])] == [(i, i, 1.0) for i in range(1, 6)]
+    big = [(i, [x * 2.0**600 for x in one]) for i in (3, 2, 1)] + [(0, one)]
+    assert [(r, i, s) for _, r, i, s in get(big)] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
+    repeated = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [2.0, 0.0]), (7, [1.0, 1.0])]
+    got = get(repeated)
+    assert len(got) == 9 and sorted(i for _, r, i, _ in got if r == 1) == [7, 50, 50]
+    want = sorted(brute({i: [float(i % 13 - 6), 1.0, float(i * i % 7)] for i in range(200)}, range(0, 200, 50), 5).items())
+    if factor == 1.0:
+        got = get([(i, [float(i % 13 - 6), 1.0, float(i * i % 7)]) for i in range(200)])
+        assert [(q, i) for q, _, i, _ in got] == [(q, i) for q, best in want for i, _ in best]
+
+
 def test_tree_prunes():
     r = np.random.default_rng(1)
     low = r.normal(size=(5000, 2))
     unit = np.column_stack([np.cos(low[:, 0]) * np.cos(low[:, 1]), np.sin(low[:, 0]) * np.cos(low[:, 1]), np.sin(low[:, 1])])
-    tree, seen = vptree.VpTree(unit), []
-    real = vptree.distances
-
-    def counted(a, b):
-        seen.append(len(a) * len(b))
-        return real(a, b)
-
-    vptree.distances = counted
-    try:
-        d, i = tree.search(unit[:50], 4, 1.0)
-        full = sum(seen)
-        seen.clear()
-        tree.search(unit[:50], 4, 0.3)
-    finally:
-        vptree.distances = real
-    assert np.allclose(np.sort(d, axis=1), np.sort(real(unit[:50], unit), axis=1)[:, :4], atol=1e-6)
-    assert sum(seen) < full < 50 * 5000 / 4
+    tree = vptree.VpTree(np.arange(5000), unit, 4)
+    score, i = tree.search(np.arange(50), unit[:50], 1.0)
+    full, tree.compared = tree.compared, 0
+    tree.search(np.arange(50), unit[:50], 0.3)
+    exact = unit[:50] @ unit.T
+    exact[np.arange(50), np.arange(50)] = -2
+    assert np.allclose(score, -np.sort(-exact, axis=1)[:, :4]) and np.allclose(np.take_along_axis(exact, i, 1), score)
+    assert tree.compared < full < 50 * 5000 / 4
 
 
 def test_queries_and_sql(spark, duck):

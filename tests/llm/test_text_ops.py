@@ -343,7 +343,7 @@ def test_deobfuscation(docs):
         assert meant in toxicity.forms(seen, model), seen
     assert "i d i o t" in toxicity.tokens("you I d i o t!! there") and "i d i o" not in toxicity.tokens("i d i o t.")
     assert "idiot" in toxicity.forms("a i d i o t x", model)
-    assert toxicity.forms("the&&&", model) == {"the"} and toxicity.forms("", model) == set()
+    assert set(toxicity.forms("the&&&", model)) == {"the"} and not list(toxicity.forms("", model))
 
 
 def planted(spark, n=600):
