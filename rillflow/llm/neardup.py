@@ -7,25 +7,35 @@ are linked if 100 * |A & B| >= threshold * |A | B|.  The result has one row a
 document with the least id that links reach.
 
 1. Signatures: one pass over the texts (``superminhash``).  Equal sets are one
-   class; its least id stands for it from here on.
+   class, which has a number; only classes are compared from here on.
 2. Banding: classes with an equal band share a bucket.  At similarity 0.8 the
    24 bands of 4 miss a pair with probability 3e-6.
-3. Stars: in each bucket every class is compared with the bucket's least id,
-   on the full sets.  Linear in the buckets' sizes; joins most groups.
+3. Stars: in each bucket every class is compared with the bucket's leader, on
+   the full sets.  Linear in the buckets' sizes; joins most groups.
 4. Rest: of buckets that still hold several components, the classes outside
-   the least id's component (the rest) are compared with all others of other
-   components, in blocks of ``BLOCK`` by ``BLOCK``: first by signature (an
-   estimate ``SLACK`` under the threshold, 4.9 standard errors for independent
-   registers, and no earlier bucket in common), then, of those left, on the full sets, all pairs
-   of a block at once.  A block gives only the links that join components, so
-   no pairs are listed, whatever a group's size, and none is left out.
-5. Union-find over the links (``components``), twice: stars, then rest.
+   the leader's component (the rest) are compared with all others of other
+   components, in blocks of bounded weight (documents and shingles): first by
+   signature (an estimate ``SLACK`` under the threshold, 4.9 standard errors for
+   independent registers, and no earlier bucket in common), then, of those left,
+   on the full sets, all pairs of a block at once.  A block gives only the links
+   that join components, so no pairs are listed, whatever a group's size, and
+   none is left out.  Buckets that would make more than ``MANY`` blocks are split
+   first, by prefix filtering: linked sets share one of the rarest shingles of
+   either, rarest in the bucket, so documents that agree in a frequent passage
+   only don't meet.
+5. Union-find over the links (``components``), twice: stars, then rest; and once
+   more where an id has several texts, whose classes are then one.
+
+With ``exact`` the buckets are those of prefix filtering over all classes, and
+nothing is decided by signature: no link is missed, for a sort of all shingles.
 
 No group meets in one task: groups are aggregated before shuffles, joined by
 equi-joins that Spark splits where skewed, or dealt in blocks.
 
-Null ids: such rows come back unlinked, with null component and kept.
-Repeated ids count as one document.  Null text counts as empty.
+Null ids: such rows come back unlinked, with null component and kept.  A
+repeated id is one document with several texts: each of its rows is counted on
+its own, and what any of them is linked with is linked with the id.  Null text
+counts as empty.
 """
 
 from __future__ import annotations
@@ -35,7 +45,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import few, map_batches, materialize, texts_of
@@ -44,10 +54,10 @@ from .superminhash import WordHashes, mix, shingles, signatures
 
 #: Registers, and registers a band.
 M, BAND = 96, 4
-#: Classes a side of a block; how far an estimate may lie under the threshold.
-BLOCK, SLACK = 448, 0.2
-#: Bytes of a shingle's hash that are kept for verification; chance of one false match in sets of 1,000: 4e-9.
-KEPT = 6
+#: Weight a side of a block, and what a class weighs besides its shingles; how far an estimate may lie under the threshold.
+BLOCK, WEIGHT, SLACK = 1 << 18, 512, 0.2
+#: Blocks from which on a bucket is split before.
+MANY = 16
 
 
 def _sketch_kernel(words: int) -> Callable:
@@ -61,14 +71,13 @@ def _sketch_kernel(words: int) -> Callable:
             for i in range(BAND):
                 key = mix(key ^ bands[:, :, i]) + np.uint64(i)
             short = (mix(reg) >> np.uint64(48)).astype("<u2")
-            full = [len(s) > 0 for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(list(map(len, sets)), pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
-                    pa.array([k.tolist() if f else [] for k, f in zip(key.view(np.int64), full, strict=True)], pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in short]),
+                    set_keys(sets),
+                    pa.array(key.view(np.int64).tolist(), pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x in short], pa.binary()),
                 ],
                 ["id", "n", "set_key", "bands", "sig"],
             )
@@ -76,22 +85,47 @@ def _sketch_kernel(words: int) -> Callable:
     return kernel
 
 
+def set_keys(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+
+
 def _set_kernel(words: int) -> Callable:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             sets = [shingles(t, words, known) for t in texts_of(batch)]
-            raw = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(raw)], ["id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([set_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "shingles"])
 
     return kernel
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    """The kept hashes of a set, as integers."""
-    out = np.zeros((len(raw) // KEPT, 8), np.uint8)
-    out[:, :KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
-    return out.view(np.uint64).reshape(-1)
+    return np.frombuffer(raw, np.uint64)
+
+
+def _shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, band, id, n, g): a row for each shingle g of a set."""
+    for batch in batches:
+        sets = [unpack(x) for x in batch.column(4).to_pylist()]
+        times = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in range(4)), pa.array(flat)], ["key", "band", "id", "n", "g"])
+
+
+def prefix_buckets(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Rows (key, band, id, n) of buckets dealt to smaller buckets in which linked sets still meet.
+
+    Ordered by how many of a bucket's classes have them, linked sets share one of
+    the first n - ceil(threshold * n / 100) + 1 shingles of either.  Those that
+    only one class has come first and make no bucket.
+    """
+    sized = rows.select("key", "band", "id", "n").join(sets.select("id", "shingles"), "id").select("key", "band", "id", "n", "shingles")
+    every = map_batches(sized, _shingle_kernel, "key long, band int, id long, n long, g long")
+    shared = every.groupBy("key", "g").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("key", "id")
+    met = every.join(shared, ["key", "g"]).withColumn("place", F.row_number().over(own.orderBy("df", "g"))).withColumn("alone", F.col("n") - F.count("*").over(own))
+    first = F.col("n") - F.expr(f"(n * {threshold} + 99) div 100") + 1
+    return met.where(F.col("place") + F.col("alone") <= first).select(F.xxhash64("key", "g").alias("key"), "band", "id", "n")
 
 
 def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, threshold: int) -> np.ndarray | bool:
@@ -130,33 +164,30 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tupl
         yield rows
 
 
-def _flag_kernel(threshold: int) -> Callable:
+def _flag_kernel(threshold: int, exact: bool) -> Callable:
     """Of each block: the rows that some pair of the block still needs, by signature."""
-    bands = M // BAND
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 3):
             rest, other = [r for r in rows if r[4]], [r for r in rows if not r[4]]
             if not rest or not other:
                 continue
-            sig = [np.frombuffer(b"".join(r[8] for r in x), "<u2").reshape(-1, M) for x in (rest, other)]
+            sig = [np.frombuffer(b"".join(r[9] for r in x), "<u2").reshape(-1, M) for x in (rest, other)]
             ids, comp, n = ([np.array([r[c] for r in x], np.int64) for x in (rest, other)] for c in (3, 5, 6))
+            bands = [[set(r[10]) for r in x] if exact else np.array([r[10] for r in x], np.int64) for x in (rest, other)]
             leader = rows[0][7]
             need_r, need_o = np.zeros(len(rest), bool), np.zeros(len(other), bool)
             for i in range(len(rest)):
                 low, high = np.minimum(n[0][i], n[1]), np.maximum(n[0][i], n[1])
-                may = (comp[1] != comp[0][i]) & (ids[1] != leader) & (100 * low >= threshold * high)
-                if ids[0][i] == leader or not may.any():
-                    continue
-                k = np.flatnonzero(may)
-                same = sig[1][k] == sig[0][i]
-                k, same = (x[same.sum(axis=1) >= (threshold / 100 - SLACK) * M] for x in (k, same))
-                if len(k):
-                    # the first band in common is this bucket's own, else an earlier bucket has the pair
-                    first = same.reshape(-1, bands, BAND).all(axis=2).argmax(axis=1)
-                    k = k[first == rest[i][9]]
-                    need_r[i] |= len(k) > 0
-                    need_o[k] = True
+                k = np.flatnonzero((comp[1] != comp[0][i]) & (ids[1] != leader) & (100 * low >= threshold * high) & (ids[0][i] != leader))
+                # the first bucket in common is this one, else another has the pair
+                if len(k) and exact:
+                    k = k[[min(bands[0][i] & bands[1][j]) == rows[0][0] for j in k.tolist()]]
+                elif len(k):
+                    k = k[(sig[1][k] == sig[0][i]).sum(axis=1) >= (threshold / 100 - SLACK) * M]
+                    k = k[(bands[1][k] == bands[0][i]).argmax(axis=1) == rest[i][8]]
+                need_r[i] |= len(k) > 0
+                need_o[k] = True
             out = [r for r, f in zip(rest, need_r, strict=True) if f] + [r for r, f in zip(other, need_o, strict=True) if f]
             if out:
                 cols = list(zip(*out, strict=True))
@@ -218,58 +249,102 @@ def _block_kernel(threshold: int) -> Callable:
     return kernel
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every document."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialize(map_batches(source, _sketch_kernel(words), "id long, n long, set_key binary, bands array<long>, sig binary"), "sketch")
-    known = sketch.where("id is not null and n > 0")
-    classes = known.groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "n", "bands", "sig"), "classes")
-
-    banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
-    shared = few(materialize(shared, "shared"))
-    buckets = materialize(banded.join(shared.select("key", "least"), "key").select("key", "band", "id", "n", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n")), "buckets")
-
-    ids = few(materialize(buckets.select("id").distinct(), "candidates"))
-    sets = materialize(map_batches(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), _set_kernel(words), "id long, n long, shingles binary"), "sets")
-
+def _stars(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, comp) of classes that links with their buckets' leaders join."""
     alike = 100 * F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n")
     stars = buckets.where(F.col("id") != F.col("leader")).where(alike).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     own = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     pairs = stars.join(own("b"), "b").join(own("a"), "a").select("a", "b", "set_a", "set_b")
     edges = map_batches(pairs, _pair_kernel(threshold), "src long, dst long")
-    first = materialize(components(edges).select(F.col("node").alias("id"), F.col("component").alias("comp")), "stars")
+    return materialize(components(edges).select(F.col("node").alias("id"), F.col("component").alias("comp")), "stars")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Buckets of two classes and more, of rows (key, band, id, n), with their leaders."""
+    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
+    shared = few(materialize(shared.select("key", F.col("least.id").alias("leader"), F.col("least.n").alias("leader_n")), "shared"))
+    return materialize(rows.join(shared, "key").select("key", "band", "id", "n", "leader", "leader_n"), "buckets")
+
 
-    placed = buckets.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.max(F.when(F.col("id") == F.col("leader"), F.col("comp"))).alias("main")).where("lo < hi")
-    mixed = few(materialize(mixed, "mixed"))
-    many = placed.join(mixed.select("key", "c", "main"), "key").withColumn("rest", F.col("comp") != F.col("main"))
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of buckets with several components, whether a row is of the rest, and how many blocks a side the rest (rcs) and all (ocs) make."""
+    weight = F.col("n") + WEIGHT
+    sums = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "comp")).alias("least"), F.sum(weight).alias("c")).where("lo < hi")
+    sums = few(materialize(sums.select("key", F.col("least.comp").alias("main"), "c"), "mixed"))
+    many = placed.join(sums, "key").withColumn("rest", F.col("comp") != F.col("main"))
     many = materialize(many.select("key", "band", "id", "n", "leader", "comp", "c", "rest"), "rest")
+    sizes = few(materialize(many.groupBy("key").agg(F.sum(F.when(F.col("rest"), weight)).alias("r")), "sizes"))
     chunks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    sizes = few(materialize(many.groupBy("key").agg(F.sum(F.col("rest").cast("long")).alias("r")), "sizes"))
-    both = many.join(sizes, "key")
-    mine = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), chunks(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
+    return many.join(sizes, "key").withColumn("rcs", chunks("r")).withColumn("ocs", chunks("c"))
+
+
+def _rest_links(both: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, exact: bool) -> DataFrame:
+    """(src, dst): links between components in buckets, block by block."""
+    mine = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     cols = ["key", "rc", "oc", "id", "rest", "comp", "n", "leader", "band"]
-    as_rest = both.where("rest").withColumn("rc", mine("r", 1)).withColumn("oc", every("c")).select(*cols)
-    as_other = both.withColumn("oc", mine("c", 2)).withColumn("rc", every("r")).withColumn("rest", F.lit(False)).select(*cols)
-    blocks = as_rest.unionByName(as_other).join(reps.select("id", "sig"), "id")
-    dealt = blocks.repartition("key", "rc", "oc").sortWithinPartitions("key", "rc", "oc").select("key", "rc", "oc", "id", "rest", "comp", "n", "leader", "sig", "band")
-    flagged = map_batches(dealt, _flag_kernel(threshold), "key long, rc int, oc int, id long, rest boolean, comp long")
-    flagged = materialize(flagged, "flagged")
+    as_rest = both.where("rest").withColumn("rc", mine("rcs", 1)).withColumn("oc", every("ocs")).select(*cols)
+    as_other = both.withColumn("oc", mine("ocs", 2)).withColumn("rc", every("rcs")).withColumn("rest", F.lit(False)).select(*cols)
+    blocks = as_rest.unionByName(as_other).join(classes.select("id", "sig", "bands"), "id")
+    dealt = blocks.repartition("key", "rc", "oc").sortWithinPartitions("key", "rc", "oc").select(*cols, "sig", "bands")
+    flagged = materialize(map_batches(dealt, _flag_kernel(threshold, exact), "key long, rc int, oc int, id long, rest boolean, comp long"), "flagged")
     full = flagged.join(sets.select("id", "shingles"), "id").repartition("key", "rc", "oc").sortWithinPartitions("key", "rc", "oc")
-    more = map_batches(full.select("key", "rc", "oc", "id", "rest", "comp", "shingles"), _block_kernel(threshold), "src long, dst long")
-    second = few(materialize(components(more).select(F.col("node").alias("comp"), F.col("component").alias("last")), "joined"))
-    final = first.join(second, "comp", "left").select("id", F.coalesce("last", "comp").alias("comp"))
+    return map_batches(full.select("key", "rc", "oc", "id", "rest", "comp", "shingles"), _block_kernel(threshold), "src long, dst long")
+
+
+def _joined(first: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) of classes: components that links join have one label."""
+    second = few(materialize(components(links).select(F.col("node").alias("comp"), F.col("component").alias("last")), "joined"))
     lone = second.join(first.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("id"), F.col("last").alias("comp"))
-    final = final.unionByName(lone)
+    return first.join(second, "comp", "left").select("id", F.coalesce("last", "comp").alias("comp")).unionByName(lone)
+
 
-    by_set = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every document."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketch = materialize(map_batches(source, _sketch_kernel(words), "id long, n long, set_key binary, bands array<long>, sig binary"), "sketch")
+    known = sketch.where("id is not null and n > 0")
+    # classes are numbered once and written, so their numbers stay
+    classes = known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first(F.struct("n", "bands", "sig")).alias("x"))
+    classes = materialize(classes.select("set_key", "rep", F.monotonically_increasing_id().alias("id"), "x.n", "x.bands", "x.sig"), "classes")
+
+    buckets = wanted = None
+    if not exact:
+        buckets = _led(classes.select("id", "n", F.posexplode("bands").alias("band", "key")))
+        ids = few(materialize(buckets.select("id").distinct(), "candidates"))
+        wanted = classes.join(ids, "id", "left_semi")
+    wanted = few(materialize((classes if exact else wanted).select("id", "set_key", "rep"), "wanted"))
+    made = map_batches(source.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi"), _set_kernel(words), "set_key binary, shingles binary")
+    sets = materialize(made.groupBy("set_key").agg(F.first("shingles").alias("shingles")).join(wanted.select("set_key", "id"), "set_key").select("id", "shingles"), "sets")
+    if exact:
+        prefixes = materialize(prefix_buckets(classes.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("band"), "id", "n"), sets, threshold), "prefixes")
+        buckets = _led(prefixes)
+
+    first = _stars(buckets, sets, threshold)
+    placed = lambda rows: rows.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    both = _mixed(placed(buckets.select("key", "band", "id", "n", "leader")))
+    wide = materialize(both.where(F.col("rcs") * F.col("ocs") > MANY).select("key", "band", "id", "n"), "wide")
+    marked = classes
+    if exact:
+        marked = classes.drop("bands").join(prefixes.groupBy("id").agg(F.collect_list("key").alias("bands")), "id")
+    elif not wide.isEmpty():
+        parts = materialize(prefix_buckets(wide, sets, threshold).withColumn("leader", F.lit(-1).cast("long")), "parts")
+        both = both.where(F.col("rcs") * F.col("ocs") <= MANY).unionByName(_mixed(placed(parts)))
+    final = _joined(first, _rest_links(both, marked, sets, threshold, exact))
+
+    several = materialize(known.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("id"), "several")
+    if not several.isEmpty():
+        texts = known.select("id", "set_key").distinct().join(few(several), "id").join(classes.select("set_key", F.col("id").alias("class")), "set_key")
+        texts = texts.join(final.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("comp", "class").alias("comp")).distinct()
+        least = few(materialize(texts.groupBy("id").agg(F.min("comp").alias("src")), "least"))
+        final = _joined(final, texts.join(least, "id").select("src", F.col("comp").alias("dst")))
+
+    final = materialize(final.join(classes.select("id", "rep"), "id").select("id", "comp", "rep"), "final")
+    names = few(materialize(final.groupBy("comp").agg(F.min("rep").alias("component")), "names"))
+    by_class = final.join(names, "comp").select("id", "component")
+    by_set = classes.select("set_key", "id", "rep").join(by_class, "id", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("id", "n", "set_key").join(by_set, "set_key", "left")
-    comp = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id"))
+    comp = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
 
 

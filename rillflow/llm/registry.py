@@ -85,21 +85,23 @@ def op3_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Exact by prefix filtering: two sets with similarity 0.8 share one of the rarest fifth (and one) of either's shingles.
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
 f AS (SELECT g, count(*) AS df FROM s GROUP BY g),
 p AS (
-  SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS k FROM s JOIN f USING (g) JOIN n USING (doc_id)),
-pre AS (SELECT doc_id, g, n FROM p WHERE k <= n - CAST(ceil(n * 0.8) AS BIGINT) + 1),
-c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM pre a JOIN pre b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+  SELECT rid, g, n, row_number() OVER (PARTITION BY rid ORDER BY df, g) AS k FROM s JOIN f USING (g) JOIN n USING (rid)),
+pre AS (SELECT rid, g, n FROM p WHERE k <= n - CAST(ceil(n * 0.8) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb FROM pre a JOIN pre b ON a.g = b.g AND a.rid < b.rid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
 l AS (
-  SELECT a, b FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
-FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+  SELECT a, b FROM c JOIN s x ON x.rid = c.a JOIN s y ON y.rid = c.b AND y.g = x.g GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+d AS (SELECT x.doc_id AS a, y.doc_id AS b FROM l JOIN w x ON x.rid = l.a JOIN w y ON y.rid = l.b),
+e AS (SELECT a, b FROM d WHERE a <> b UNION SELECT b, a FROM d WHERE a <> b),
+r(doc_id, c) AS (SELECT DISTINCT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b),
+m AS (SELECT doc_id, min(c) AS c FROM r WHERE doc_id IS NOT NULL GROUP BY doc_id),
+o AS (SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.c END AS component_id FROM w LEFT JOIN n USING (rid) LEFT JOIN m USING (doc_id))
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o
 """
 
 

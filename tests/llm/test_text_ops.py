@@ -274,19 +274,45 @@ def family(seed, groups=12, copies=9, words=60):
     return out | {500: "", 501: None, 502: "one", 503: "ONE ", 504: "two words", 505: "é É", 506: "é é"}
 
 
-@pytest.mark.parametrize(("seed", "words"), [(1, 2), (2, 5), (3, 2)])
-def test_near_duplicates(spark, seed, words, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+@pytest.mark.parametrize(("seed", "words", "many", "exact"), [(1, 2, 16, False), (2, 5, 2, False), (3, 2, 2, False), (1, 2, 16, True)])
+def test_near_duplicates(spark, seed, words, many, exact, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 1600)
+    monkeypatch.setattr(neardup, "MANY", many)
     texts = family(seed)
     df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id long, text string, comp string")
     want, sizes = brute_components(texts, words, 80)
-    p = pandas(neardup.near_duplicates(df, words=words)).set_index("doc_id")
+    p = pandas(neardup.near_duplicates(df, words=words, exact=exact)).set_index("doc_id")
     assert p.component_id.to_dict() == want and p.n_shingles.to_dict() == sizes
     assert p.kept.to_dict() == {i: i == c for i, c in want.items()}
     kept = neardup.drop_near_duplicates(df, words=words)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} and kept.columns == df.columns
 
 
+def test_repeated_ids_join_what_their_texts_join(spark):
+    r = random.Random(3)
+    a, b = ([f"w{r.randrange(3000)}" for _ in range(60)] for _ in range(2))
+    near = lambda x: " ".join([*x[:-2], "zz", "yy"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, near(a)), (9, near(b)), (7, ""), (12, "one"), (5, "one"), (7, " ".join(a))]
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect())
+    assert got == [(5, 1, 5), (7, 0, 7), (7, 59, 7), (7, 59, 7), (7, 59, 7), (8, 59, 7), (9, 59, 7), (12, 1, 5)]
+
+
+def test_prefix_buckets_keep_linked_sets_together(spark):
+    """Whatever the threshold, linked sets share a bucket; what only a common passage joins makes none."""
+    r = random.Random(5)
+    passage = list(range(1000, 1070))
+    sets = {i: set(r.sample(range(60), 25)) for i in range(40)} | {100 + i: set(passage) | {2000 + 40 * i + k for k in range(30)} for i in range(20)}
+    table = spark.createDataFrame([(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()], "id long, shingles binary")
+    rows = spark.createDataFrame([(1, 0, i, len(x)) for i, x in sets.items()], "key long, band int, id long, n long")
+    for threshold in (30, 50, 80):
+        met: dict = {}
+        for x in neardup.prefix_buckets(rows, table, threshold).collect():
+            met.setdefault(x["key"], set()).add(x["id"])
+        pairs = {(a, b) for ids in met.values() for a in ids for b in ids}
+        assert all((a, b) in pairs for a, x in sets.items() for b, y in sets.items() if a != b and 100 * len(x & y) >= threshold * len(x | y)), threshold
+    assert not any(a >= 100 for a, _ in pairs)
+
+
 def test_near_duplicates_odd_rows(spark, odd, monkeypatch):
     p = pandas(neardup.near_duplicates(odd, words=2))
     assert len(p) == len(ODD) + 2
@@ -303,9 +329,10 @@ def test_estimates_far_under_the_threshold():
     sig = np.arange(neardup.M, dtype="<u2")
     for equal, wanted in ((62, 2), (58, 2), (57, 0)):
         near = np.where(np.arange(neardup.M) < equal, sig, sig + 1000).astype("<u2")
-        rows = [(1, 0, 0, 5, True, 5, 100, 1, sig.tobytes(), 0), (1, 0, 0, 6, False, 6, 100, 1, near.tobytes(), 0)]
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "rc", "oc", "id", "rest", "comp", "n", "leader", "sig", "band"])
-        assert sum(b.num_rows for b in neardup._flag_kernel(80)([batch])) == wanted
+        bands = [[1, *range(i, i + neardup.M // neardup.BAND - 1)] for i in (100, 200)]
+        rows = [(1, 0, 0, 5, True, 5, 100, 1, 0, sig.tobytes(), bands[0]), (1, 0, 0, 6, False, 6, 100, 1, 0, near.tobytes(), bands[1])]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "rc", "oc", "id", "rest", "comp", "n", "leader", "band", "sig", "bands"])
+        assert sum(b.num_rows for b in neardup._flag_kernel(80, False)([batch])) == wanted
     lost = sum(math.comb(neardup.M, i) * 0.8**i * 0.2 ** (neardup.M - i) for i in range(58))
     assert lost < (1 - 0.8**neardup.BAND) ** (neardup.M // neardup.BAND)
 
