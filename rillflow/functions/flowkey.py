@@ -8,8 +8,6 @@ range raise ValueError when the plan is built, or give null for null keys.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +49,11 @@ def unsigned(key: Column, offset: int, size: int) -> Column:
     return F.conv(turned, 16, 10).cast("long")
 
 
+def network(key: Column, offset: int, size: int) -> Column:
+    """The number at a place, most significant byte first."""
+    return F.conv(F.hex(key.substr(offset + 1, size)), 16, 10).cast("long")
+
+
 def accessor(key: Column, field: str, length: int) -> Column:
     """A field as a signed integer; a field that keys of this length lack is an error."""
     _check(length)
@@ -106,11 +109,3 @@ def less(a: Column, b: Column, length: int) -> Column:
     """Lexicographic order of signed bytes (Spark compares bytes unsigned: flipping the sign bits gives the same order)."""
     flip = F.lit(bytes([0x80] * length))
     return xor(a, flip, length) < xor(b, flip, length)
-
-
-def number(key: Column, length: int) -> Column:
-    """A key as one number for hashing, reduced modulo 2^31 - 1; group by the key itself."""
-    from .hashing import fold
-
-    parts = [unsigned(key, k, min(3, length - k)) for k in range(0, length, 3)]
-    return reduce(lambda x, y: fold(x, y), parts)

@@ -77,6 +77,11 @@ def decodings(truth: DataFrame, found: DataFrame, keys: list[str], podf: float)
     return both.agg(ratio, _r(F.avg(e)).alias("are"), _r(F.avg(F.abs(F.col("value") - F.col("est")))).alias("aae"), _r(F.avg((F.col("value") == F.col("est")).cast("int"))).alias("acc"), _r(F.avg((e <= podf).cast("int"))).alias("podf"))
 
 
+def decoded_distribution(truth: DataFrame, found: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
+    """(tick, share) of the relative errors of what was decoded of the truth."""
+    return distribution(truth.select(*keys, "value").join(found.select(*keys, "est"), keys), at)
+
+
 def timed(action: Callable[[], object], rows: int) -> dict[str, float]:
     """TIME in microseconds and RATE in rows a second of a whole action."""
     began = time.perf_counter()

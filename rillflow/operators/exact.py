@@ -7,6 +7,8 @@ Records have the flow key in one or more columns, an order column ``seq``, and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def ground_truth(records: DataFrame, keys: list[str], by: str = "packets") -> Da
     return rows.groupBy(*keys).agg(F.sum("_w").cast("long").alias("value"), F.min("seq").alias("first_seen"))
 
 
+def flag_overflow(truth: DataFrame, bits: int = 32) -> DataFrame:
+    """A summary with a column that says whether a signed counter of so many bits would have overflowed; our own counters have 64, and a sum beyond those is an error."""
+    return truth.withColumn("overflow", ~F.col("value").between(-(1 << bits - 1), (1 << bits - 1) - 1))
+
+
 def totals(truth: DataFrame) -> DataFrame:
     """One row: number of flows, total, least and greatest value (null when empty)."""
     return truth.agg(F.count("*").alias("flows"), F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
@@ -50,7 +57,7 @@ def lookup(truth: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 def value_of(truth: DataFrame, key: dict) -> int:
     """The value of one key; KeyError without it."""
-    row = truth.where(" and ".join(f"{k} = {v!r}" for k, v in key.items())).select("value").first()
+    row = truth.where(reduce(Column.__and__, (F.col(k) == F.lit(v) for k, v in key.items()))).select("value").first()
     if row is None:
         raise KeyError(key)
     return row[0]
@@ -76,8 +83,8 @@ def _share(values: DataFrame, share: float) -> DataFrame:
 
 
 def heavy_hitters(truth: DataFrame, threshold: float, method: str = "topk") -> DataFrame:
-    """Flows by 'topk' (ties by first seen) or 'percentile' (share of the whole total)."""
-    return _top(truth, threshold, ["first_seen"]) if method == "topk" else _share(truth, threshold)
+    """Flows by 'percentile' (share of the whole total) or, as for any other method, 'topk' (ties by first seen)."""
+    return _share(truth, threshold) if method.lower() == "percentile" else _top(truth, threshold, ["first_seen"])
 
 
 def differences(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,22 +95,32 @@ def differences(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def record_differences(one: DataFrame, two: DataFrame, keys: list[str], by: str = "packets") -> DataFrame:
-    """The same from records: signed weights, one shuffle and no join."""
+    """The same from records: signed weights, one shuffle and no join.  Records without a key or weight are left out."""
     w = weight(by)
-    signed = one.select(*keys, w.alias("_w")).unionByName(two.select(*keys, (-w).alias("_w")))
+    signed = one.select(*keys, w.alias("_w")).unionByName(two.select(*keys, (-w).alias("_w"))).where(F.col("_w").isNotNull())
+    for k in keys:
+        signed = signed.where(F.col(k).isNotNull())
     return signed.groupBy(*keys).agg(F.abs(F.sum("_w")).cast("long").alias("value"))
 
 
 def heavy_changers(diff: DataFrame, keys: list[str], threshold: float, method: str = "topk") -> DataFrame:
-    """Flows by difference: 'topk' (ties by key) or 'percentile' (share of the sum of differences)."""
-    return _top(diff, threshold, keys) if method == "topk" else _share(diff, threshold)
+    """Flows by difference: 'percentile' (share of the sum of differences) or, as for any other method, 'topk' (ties by key)."""
+    return _share(diff, threshold) if method.lower() == "percentile" else _top(diff, threshold, keys)
 
 
-def prefix(records: DataFrame, share: float, rows: int) -> DataFrame:
-    """The first floor(share * rows) records by seq, which counts from 0."""
+def prefix(records: DataFrame, share: float) -> DataFrame:
+    """The first floor(share * rows) records by seq, which counts from 0; the number of rows is counted in the same query."""
     if not 0 < share <= 1:
         raise ValueError("a sample's share lies over 0 and up to 1")
-    return records.where(F.col("seq") < int(share * rows))
+    cut = records.agg(F.floor(F.lit(float(share)) * F.count("*")).cast("long").alias("_cut"))
+    return records.crossJoin(F.broadcast(cut)).where(F.col("seq") < F.col("_cut")).drop("_cut")
+
+
+def halves(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records under and from the middle of seq on, which counts from 0."""
+    middle = records.agg(F.expr("(max(seq) + 1) div 2").alias("_cut"))
+    whole = records.crossJoin(F.broadcast(middle))
+    return whole.where(F.col("seq") < F.col("_cut")).drop("_cut"), whole.where(F.col("seq") >= F.col("_cut")).drop("_cut")
 
 
 def between(records: DataFrame, begin: int, end: int) -> DataFrame:

@@ -5,7 +5,10 @@ folds over records in seq order.  A fold streams its rows (it never holds
 them), so its memory is the sketch.  ``shards`` splits flows by a hash of the
 key into independent sketches that fold in parallel, each with its share of the
 width: this is the form for large streams.  One shard is the single sketch over
-the whole stream, in one task.
+the whole stream, in one task: some 0.3 million records a second, so up to about
+a billion records in an hour; beyond, or where a flow may hold much of the
+stream, take shards, or ``streaming.windows.stream_fold``, which folds
+micro-batches into a kept state.
 
 The counter hierarchy and FlowRadar's decoding work on tables of a size fixed
 by the sketch's parameters.
@@ -13,6 +16,7 @@ by the sketch's parameters.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -21,18 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ..functions.hashing import HashFamily
-from ..functions.numbers import FixedInt, next_prime
-from .linear import FlowRadar
+from ..functions.hashing import WORD_BYTES, HashFamily, P, hashed, is_bytes, shard_of
+from ..functions.numbers import next_prime
+from .linear import CountMin, FlowRadar, changed
+from .sketch import Sketch
 
 Batches = Iterator[pa.RecordBatch]
 
 
 def fold(records: DataFrame, columns: list[str], shards: int, make: Callable[[], object], schema: str, seq: str = "seq", key: str = "key") -> DataFrame:
     """Rows of each shard, in seq order, through ``make()``: an object with ``step(*columns)`` and ``rows()``, which gives tuples of the schema without the shard."""
-    dealt = records.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("long").alias("_shard"), F.col(seq).alias("_seq"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_seq") if shards > 1 else dealt.coalesce(1).sortWithinPartitions("_seq")
+    dealt = records.select(shard_of(records, key, shards).alias("_shard"), F.col(seq).alias("_seq"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_seq") if shards > 1 else dealt.repartition(1).sortWithinPartitions("_seq")
 
     def kernel(batches: Batches) -> Batches:
         now, state = None, None
@@ -80,13 +86,14 @@ class CuState:
 
 
 @dataclass(frozen=True)
-class ConservativeUpdate:
+class ConservativeUpdate(Sketch):
     """Count-Min whose counters are raised no further than the least one plus the update needs."""
 
     depth: int
     width: int
     shards: int = 1
     seed: int = 1
+    family: Callable[[int, int], HashFamily] = HashFamily
 
     @property
     def shard_width(self) -> int:
@@ -98,15 +105,15 @@ class ConservativeUpdate:
 
     def build(self, records: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
         """Cells (shard, r, c, v)."""
-        h, w = HashFamily(self.depth, self.seed), self.shard_width
+        h, w = self.family(self.depth, self.seed), self.shard_width
         return fold(records, [key, value], self.shards, lambda: CuState(h, w), "r long, c long, v long", key=key)
 
     def query(self, cells: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-        h = HashFamily(self.depth, self.seed)
-        out = keys.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(self.shards)).cast("long"))
+        h, k = self.family(self.depth, self.seed), hashed(keys, key)
+        out = keys.withColumn("_s", shard_of(keys, key, self.shards))
         for i in range(self.depth):
             row = cells.where(F.col("r") == i).select(F.col("shard").alias("_s"), F.col("c").alias("_p"), F.col("v").alias(f"_v{i}"))
-            out = out.withColumn("_p", h.position(i, F.col(key), self.shard_width)).join(F.broadcast(row) if self.shards * self.shard_width <= 2_000_000 else row, ["_s", "_p"], "left").drop("_p")
+            out = out.withColumn("_p", h.position(i, k, self.shard_width)).join(F.broadcast(row) if self.shards * self.shard_width <= 2_000_000 else row, ["_s", "_p"], "left").drop("_p")
         found = [F.coalesce(F.col(f"_v{i}"), F.lit(0).cast("long")) for i in range(self.depth)]
         return out.withColumn("est", (F.least(*found) if self.depth > 1 else found[0]).cast("long")).drop("_s", *(f"_v{i}" for i in range(self.depth)))
 
@@ -145,11 +152,12 @@ class PipeState:
 
 
 @dataclass(frozen=True)
-class HashPipe:
+class HashPipe(Sketch):
     depth: int
     width: int
     shards: int = 1
     seed: int = 5
+    family: Callable[[int, int], HashFamily] = HashFamily
 
     @property
     def shard_width(self) -> int:
@@ -162,8 +170,8 @@ class HashPipe:
 
     def build(self, records: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
         """Slots (shard, stage, pos, key, value)."""
-        h, w = HashFamily(self.depth, self.seed), self.shard_width
-        return fold(records, [key, value], self.shards, lambda: PipeState(h, w), "stage long, pos long, key long, value long", key=key)
+        h, w = self.family(self.depth, self.seed), self.shard_width
+        return fold(records, [key, value], self.shards, lambda: PipeState(h, w), f"stage long, pos long, key {'binary' if is_bytes(records, key) else 'long'}, value long", key=key)
 
     def estimates(self, slots: DataFrame) -> DataFrame:
         """(key, est): the sum over stages."""
@@ -175,6 +183,10 @@ class HashPipe:
     def heavy_hitters(self, slots: DataFrame, threshold: float) -> DataFrame:
         return self.estimates(slots).where(F.col("est") >= threshold)
 
+    def changers(self, slots: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
+        """(key, est) of flows that either pipe holds and whose sums differ by the threshold or more."""
+        return changed(self.estimates(slots), self.estimates(other), threshold)
+
 
 @dataclass
 class RemovableState:
@@ -204,46 +216,56 @@ class RemovableState:
                 yield p, n
 
 
-def counting_bloom_fold(operations: DataFrame, counters: int, count: int, bits: int = 4, seed: int = 3, shards: int = 1) -> DataFrame:
+def counting_bloom_fold(operations: DataFrame, counters: int, count: int, bits: int = 4, seed: int = 3, shards: int = 1, family: Callable[[int, int], HashFamily] = HashFamily) -> DataFrame:
     """Counters (shard, pos, n) after inserts and removals (columns seq, key, insert), in order; one filter, or one a shard of the keys."""
-    h, w = HashFamily(count, seed), next_prime(-(-counters // shards))
+    h, w = family(count, seed), next_prime(-(-counters // shards))
     return fold(operations, ["key", "insert"], shards, lambda: RemovableState(h, w, (1 << bits) - 1), "pos long, n long")
 
 
-def peel(cells: dict[int, tuple[int, int, int]], sketch: FlowRadar) -> dict[int, int]:
-    """FlowRadar's decoding: again and again the pure cell (flow count 1) of least address gives its flow, which leaves all its cells.  Ends after as many steps as there are cells."""
-    xor, flows, packets = ({p: c[i] for p, c in cells.items()} for i in range(3))
-    pure = {p for p, n in flows.items() if n == 1}
+def peel(cells: dict[int, tuple[int, int, int]], places: Callable[[int], list[int]]) -> dict[int, int]:
+    """FlowRadar's decoding: again and again the pure cell (flow count 1) of least address gives its flow, which leaves all its cells (``places`` of it).  Ends after as many steps as there are cells.  Pure cells wait in a heap, so a step costs a logarithm."""
+    table = {p: list(c) for p, c in cells.items()}
+    pure = [p for p, c in table.items() if c[1] == 1]
+    heapq.heapify(pure)
     out: dict[int, int] = {}
-    for _ in range(len(cells)):
-        while pure and flows[min(pure)] != 1:
-            pure.discard(min(pure))
-        if not pure:
-            break
-        at = min(pure)
-        key, value = xor[at], packets[at]
+    steps = len(cells)
+    while pure and steps:
+        at = heapq.heappop(pure)
+        key, flows, value = table[at]
+        if flows != 1:  # was pure when it was put there
+            continue
+        steps -= 1
         out[key] = out.get(key, 0) + value
-        for p in sketch.hashes.places(key, sketch.table):
-            if p in flows:
-                xor[p] ^= key
-                flows[p] -= 1
-                packets[p] -= value
-                pure.add(p) if flows[p] == 1 else pure.discard(p)
+        for p in places(key):
+            c = table.get(p)
+            if c is not None:
+                c[0] ^= key
+                c[1] -= 1
+                c[2] -= value
+                if c[1] == 1:
+                    heapq.heappush(pure, p)
     return out
 
 
 def decode(cells: DataFrame, sketch: FlowRadar) -> DataFrame:
     """(key, est) of the flows that peel off.  One task reads the table, whose size the sketch fixes."""
+    words = isinstance(cells.schema["flow_xor"].dataType, ArrayType)
 
     def kernel(batches: Batches) -> Batches:
-        table = {}
+        table, size = {}, 0
         for batch in batches:
-            for p, x, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table[p] = (x, n, v)
-        found = peel(table, sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["key", "est"])
+            columns = [c.to_pylist() for c in batch.columns]
+            if words:  # one number a cell
+                size = max([size, *columns[4]])
+                columns[1] = [sum(w << 8 * WORD_BYTES * j for j, w in enumerate(x)) for x in columns[1]]
+            table.update(zip(columns[0], zip(*columns[1:4], strict=True), strict=True))
+        as_key = (lambda x: x.to_bytes(size, "little")) if words else (lambda x: x)
+        whole = (1 << 8 * size if words else 1 << 63) - 1
+        found = {k: v for k, v in peel(table, lambda x: sketch.hashes.places(as_key(x & whole), sketch.table)).items() if k <= whole}
+        yield pa.RecordBatch.from_arrays([pa.array(map(as_key, found), pa.binary() if words else pa.int64()), pa.array(list(found.values()), pa.int64())], ["key", "est"])
 
-    return cells.select("pos", "flow_xor", "flow_count", "packet_count").coalesce(1).mapInArrow(kernel, "key long, est long")
+    columns = ["pos", "flow_xor", "flow_count", "packet_count", *(["key_bytes"] if words else [])]
+    return cells.select(*columns).repartition(1).mapInArrow(kernel, f"key {'binary' if words else 'long'}, est long")
 
 
 class CounterHierarchy:
@@ -269,59 +291,74 @@ class CounterHierarchy:
         self.counts, self.widths, self.hash_counts = list(counts), list(widths), list(hashes)
         family = [HashFamily(h, seed + k) for k, h in enumerate(hashes)]
         self._place = place or (lambda layer, i, cell: family[layer].place(i, cell, counts[layer + 1]))
+        self._families = None if place else family
         self.clear()
 
+    def _places(self, layer: int, cells: np.ndarray) -> np.ndarray:
+        """Rows of the cells above, one a cell; its hashes are the columns."""
+        n = self.hash_counts[layer]
+        if self._families is None or type(self._families[layer]) is not HashFamily:
+            return np.array([[self._place(layer, i, c) for i in range(n)] for c in cells.tolist()], np.int64).reshape(len(cells), n)
+        k = cells.astype(object) if len(cells) and int(cells.max()) >= P else cells.astype(np.int64)
+        return np.stack([((a * (k % P) + b) % P % self.counts[layer + 1]).astype(np.int64) for a, b, *_ in self._families[layer].constants], axis=1)
+
     def clear(self) -> None:
-        self.layers = [[FixedInt(w) for _ in range(n)] for n, w in zip(self.counts, self.widths, strict=True)]
-        self.status = [[False] * n for n in self.counts]
-        self.original = [0] * self.counts[0]
-        self.pending: dict[int, int] = {}
-        self.decoded: list[int] | None = None
-        self.overflowed = False
+        self.layers = [np.zeros(n, np.int64) for n in self.counts]
+        self.status = [np.zeros(n, bool) for n in self.counts]
+        self.original = np.zeros(self.counts[0], np.int64)
+        self.pending = np.zeros(self.counts[0], np.int64)
+        self.waiting = self.overflowed = False
+        self.decoded: np.ndarray | None = None
 
     def update(self, index: int, value: int) -> None:
         if not 0 <= index < self.counts[0]:
             raise IndexError(index)
-        self.pending[index] = self.pending.get(index, 0) + value
-        self.original[index] += value
+        self.update_all(np.array([index]), np.array([value]))
+
+    def update_all(self, indices: np.ndarray, values: np.ndarray) -> None:
+        np.add.at(self.pending, indices, values)
+        np.add.at(self.original, indices, values)
+        self.waiting = True
 
     def _apply(self) -> None:
-        todo, self.pending = self.pending, {}
-        for layer in range(len(self.counts)):
-            above: dict[int, int] = {}
-            for cell, v in sorted(todo.items()):
-                carry = self.layers[layer][cell].add(v)
-                if carry:
-                    if layer == len(self.counts) - 1:
-                        raise OverflowError("the last layer overflowed")
-                    self.overflowed = True
-                    self.status[layer][cell] = True
-                    for i in range(self.hash_counts[layer]):
-                        p = self._place(layer, i, cell)
-                        above[p] = above.get(p, 0) + carry
-            todo = above
+        todo, self.pending, self.waiting = self.pending, np.zeros_like(self.pending), False
+        for layer, width in enumerate(self.widths):
+            total = self.layers[layer] + todo
+            self.layers[layer], carry = total & ((1 << width) - 1), total >> width
+            full = np.flatnonzero(carry)
+            if not len(full):
+                break
+            if layer == len(self.counts) - 1:
+                raise OverflowError("the last layer overflowed")
+            self.overflowed = True
+            self.status[layer][full] = True
+            todo = np.zeros(self.counts[layer + 1], np.int64)
+            np.add.at(todo, self._places(layer, full), carry[full][:, None])
         self.decoded = None
 
     def get(self, index: int) -> int:
         if not 0 <= index < self.counts[0]:
             raise IndexError(index)
-        if self.pending:
+        return int(self.get_all()[index])
+
+    def get_all(self) -> np.ndarray:
+        if self.waiting:
             self._apply()
         if self.decoded is None:
             self.decoded = self._decode()
-        return self.decoded[index]
+        return self.decoded
 
-    def _decode(self) -> list[int]:
-        values = [c.value for c in self.layers[-1]]
+    def _decode(self) -> np.ndarray:
+        values = self.layers[-1]
         for layer in range(len(self.counts) - 2, -1, -1):
-            flagged = [k for k, f in enumerate(self.status[layer]) if f]
-            high = dict.fromkeys(range(self.counts[layer]), 0)
-            if flagged:
-                edges = [(self._place(layer, i, k), j) for j, k in enumerate(flagged) for i in range(self.hash_counts[layer])]
-                rows, cols = (np.array(x) for x in zip(*edges, strict=True))
-                x = least_squares(rows, cols, np.array(values, float), self.counts[layer + 1], len(flagged))
-                high.update((k, math.floor(v + 0.5)) for k, v in zip(flagged, x.tolist(), strict=True))
-            values = [(high[k] << self.widths[layer]) + c.value for k, c in enumerate(self.layers[layer])]
+            flagged = np.flatnonzero(self.status[layer])
+            high = np.zeros(self.counts[layer], np.int64)
+            if len(flagged):
+                rows = self._places(layer, flagged)
+                cols = np.broadcast_to(np.arange(len(flagged))[:, None], rows.shape)
+                x = least_squares(rows.ravel(), cols.ravel(), values.astype(float), self.counts[layer + 1], len(flagged))
+                high[flagged] = np.floor(x + 0.5).astype(np.int64)
+            values = (high << self.widths[layer]) + self.layers[layer]
         return values
 
     @property
@@ -356,21 +393,28 @@ def least_squares(rows: np.ndarray, cols: np.ndarray, b: np.ndarray, m: int, n:
 
 
 @dataclass(frozen=True)
-class HierarchyCountMin:
+class HierarchyCountMin(Sketch):
     """Count-Min whose counters are a hierarchy: cell r * width + position; each layer is the next prime of the last times ratio."""
 
+    takes = "flows"
     depth: int
     width: int
     ratio: float
     widths: tuple[int, ...]
     hashes: tuple[int, ...]
     seed: int = 1
+    family: Callable[[int, int], HashFamily] = HashFamily
 
     def __post_init__(self) -> None:
         if not 0 < self.ratio < 1:
             raise ValueError("ratio lies between 0 and 1")
         object.__setattr__(self, "width", next_prime(self.width))
 
+    @property
+    def plain(self) -> CountMin:
+        """The Count-Min whose counters the hierarchy holds."""
+        return CountMin(self.depth, self.width, self.seed, family=self.family)
+
     @property
     def size(self) -> int:
         return self.hierarchy().size + 32 * self.depth + 32
@@ -385,8 +429,20 @@ class HierarchyCountMin:
     def hierarchy(self) -> CounterHierarchy:
         return CounterHierarchy(self.counts, list(self.widths), list(self.hashes))
 
-    def decode(self, cells: DataFrame) -> DataFrame:
-        """Cells (r, c, v) of a Count-Min of the same depth, width and seed, through the hierarchy and back.
+    def build(self, flows: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+        """Cells (r, c, v), decoded."""
+        return self.decoded(self.plain.build(flows, key, value))
+
+    def query(self, cells: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+        return self.plain.query(cells, keys, key)
+
+    def low_layer(self, cells: DataFrame) -> DataFrame:
+        """(r, c, low, carry) of a Count-Min's cells: what layer 0 keeps, and what goes to the next."""
+        bits = self.widths[0]
+        return cells.select("r", "c", F.col("v").bitwiseAND((1 << bits) - 1).alias("low"), F.shiftright("v", bits).alias("carry"))
+
+    def decoded(self, cells: DataFrame) -> DataFrame:
+        """Cells (r, c, v) of the plain Count-Min through the hierarchy and back.
 
         Layer 0's updates are sums, so they may be aggregated before; one task holds the hierarchy, whose size the sketch fixes.
         """
@@ -395,11 +451,11 @@ class HierarchyCountMin:
         def kernel(batches: Batches) -> Batches:
             h, seen = self.hierarchy(), []
             for batch in batches:
-                for r, c, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                    h.update(r * width + c, v)
-                    seen.append((r, c))
+                r, c, v = (x.to_numpy().astype(np.int64) for x in batch.columns)
+                h.update_all(r * width + c, v)
+                seen.append(r * width + c)
             if seen:
-                r, c = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(c, pa.int64()), pa.array([h.get(a * width + b) for a, b in seen], pa.int64())], ["r", "c", "v"])
+                at = np.concatenate(seen)
+                yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array(at % width), pa.array(h.get_all()[at])], ["r", "c", "v"])
 
-        return cells.select("r", "c", "v").coalesce(1).mapInArrow(kernel, "r int, c long, v long")
+        return cells.select("r", "c", "v").repartition(1).mapInArrow(kernel, "r int, c long, v long")

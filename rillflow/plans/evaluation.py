@@ -2,12 +2,18 @@
 
 Sections (all dotted paths are under the section's name):
 
-[<Section>.para]  the sketch's parameters
-[<Section>.data]  data = path, format = [[names], [lengths]], cnt_method = "InLength" | "InPacket", topk or percentile
-[<Section>.test]  update = ["RATE"], query = ["ARE", ...], query_podf, query_dist, heavyhitter = [...], lookup = [...], decode = [...], sample
+[<Section>.para]  the sketch's parameters, by the names of ``operators.sketch`` or of the format
+[<Section>.ch]    more of them, for a sketch over the counter hierarchy
+[<Section>.data]  data = path, format = [[names], [lengths]], cnt_method = "InLength" | "InPacket", hx_method = "TopK" | "Percentile",
+                  threshold_heavy_hitter, threshold_heavy_changer
+[<Section>.test]  sample, and the metrics of each routine: insert, update = ["RATE"], query, lookup, heavyhitter, heavychanger, decode = [...];
+                  <routine>_podf, <routine>_dist
 
-An unknown method falls back to InLength and TopK.  A metric that a routine
-doesn't know is ignored; DIST and PODF need their companion key.
+Every routine that the test section names is run, whatever the sketch: through
+the contract of ``Sketch``, where what a sketch lacks finds nothing.  Flows are
+told apart by the bytes of their keys.  An unknown method falls back to InLength
+and TopK; look-ups, insertions and decoding count packets.  A metric that a
+routine doesn't know is ignored; DIST and PODF need their companion key.
 """
 
 from __future__ import annotations
@@ -15,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import flowkey
 from ..operators import evaluate as ev
 from ..operators import exact, sketch
-from ..operators.ordered import decode
 from ..sources.config import Config
 from ..sources.formats import RecordFormat, read_records
 
+KEYS = ["key"]
+
 
 def wanted(config: Config, routine: str) -> tuple[set[str], float | None, list[float] | None]:
     """Metrics asked for and allowed, the PODF threshold and the DIST ticks."""
@@ -43,60 +49,99 @@ def clocked(config: Config, routine: str, rows: int, *frames: DataFrame) -> dict
     return {k: got[k] for k in asked}
 
 
-def keyed(records: DataFrame, fmt: RecordFormat) -> DataFrame:
-    """Records with the number that hashes a flow key, and a flow id for grouping."""
-    return records.withColumn("key", flowkey.number(F.col("flowkey"), fmt.key_length))
+def measured(frame: DataFrame) -> dict[str, object]:
+    return {k.upper(): v for k, v in frame.first().asDict().items()}
 
 
 def evaluate(spark: SparkSession, path: str, section: str, name: str) -> dict[str, dict[str, object]]:
     """Metrics by routine of one sketch; ValueError where the configuration lacks something."""
     config = Config(path)
-    para, data, test = (config.at(f"{section}.{s}") for s in ("para", "data", "test"))
-    if not config.succeed or para._node is None or data._node is None:
+    para, more, data, test = (config.at(f"{section}.{s}") for s in ("para", "ch", "data", "test"))
+    if not config.succeed or not para.exists or not data.exists:
         raise ValueError(f"no sections of {section} in {path}")
-    made = sketch.create(name, **{k: tuple(v) if isinstance(v, list) else v for k, v in para._node.items()})
-    fmt = RecordFormat.parse(data.get("format", list))
-    by = "packets" if data.get("cnt_method", str, False) == "InPacket" else "length"
+    given = para.items() | (more.items() if name == "hierarchy_count_min" else {})
+    made = sketch.create(name, **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+    spec, source = data.get("format", list), data.get("data", str)
+    if spec is None or source is None:
+        raise ValueError(f"no data and format of {section} in {path}")
+    fmt = RecordFormat.parse(spec)
+    asked = [r for r in ev.ROUTINES if test.get(r, list[str], False) is not None]
+    by = "length" if data.get("cnt_method", str, False) != "InPacket" and set(asked) & {"query", "heavyhitter", "heavychanger"} else "packets"
     if by == "length" and "length" not in fmt.names:
         raise ValueError("lengths are counted, but the format has none")
-    records = keyed(read_records(spark, data.get("data", str), fmt), fmt)
-    # Keys that hash to the same number below 2^31 - 1 are one flow here.
-    truth = exact.ground_truth(records, ["key"], by).cache()
-    out: dict[str, dict[str, object]] = {"size": {"SIZE": made.size}}
-    flows, packets = truth.count(), records.count()
-    if name in ("count_min", "count_sketch", "conservative_update"):
-        source = records.withColumn("value", exact.weight(by)) if name == "conservative_update" else truth
-        cells = made.build(source)
-        out["update"] = clocked(test, "update", packets, cells)
-        joined = made.query(cells, truth.select("key", "value")).cache()
-        out["query"] = clocked(test, "query", flows, joined)
-        asked, podf, dist = wanted(test, "query")
-        got = {k.upper(): v for k, v in ev.errors(joined, podf).first().asDict().items()}
-        out["query"] |= {k: v for k, v in got.items() if k in asked}
-        if dist:
-            out["query"]["DIST"] = [tuple(r) for r in ev.distribution(joined, dist).orderBy("tick").collect()]
-    elif name in ("bloom", "counting_bloom"):
-        share = test.get("sample", float, False) or 0.3
-        sample = exact.prefix(records, share, packets)
-        built = made.build(sample.select("key").distinct() if name == "bloom" else exact.ground_truth(sample, ["key"]))
-        out["insert"] = clocked(test, "insert", int(share * packets), built)
-        looked = made.lookup(built, truth).join(sample.select("key").distinct().withColumn("m", F.lit(True)), "key", "left")
-        got = ev.lookups(looked.select("found", F.coalesce("m", F.lit(False)).alias("member"))).first().asDict()
-        out["lookup"] = clocked(test, "lookup", flows, looked) | {k.upper(): v for k, v in got.items() if k.upper() in wanted(test, "lookup")[0]}
-    elif name == "hashpipe":
-        share, top = data.get("percentile", float, False), data.get("topk", float, False) or 300.0
-        real = exact.heavy_hitters(truth, share, "percentile") if share is not None else exact.heavy_hitters(truth, top)
-        least = real.agg(F.min("value")).first()[0] or 1
-        slots = made.build(records.withColumn("value", exact.weight(by)))
-        out["update"] = clocked(test, "update", packets, slots)
-        found = made.heavy_hitters(slots, least)
-        got = ev.detections(real, found, ["key"]).first().asDict()
-        out["heavyhitter"] = clocked(test, "heavyhitter", 1, found) | {k.upper(): v for k, v in got.items() if k.upper() in wanted(test, "heavyhitter")[0]}
-    elif name == "flowradar":
-        asked, podf, _ = wanted(test, "decode")
-        table = made.build(truth)
-        out["update"] = clocked(test, "update", packets, table)
-        found = decode(table, made)
-        got = ev.decodings(truth, found, ["key"], podf or 0.0).first().asDict()
-        out["decode"] = clocked(test, "decode", 1, found) | {k.upper(): v for k, v in got.items() if k.upper() in asked}
-    return out
+    records = read_records(spark, source, fmt).withColumnRenamed("flowkey", "key")
+    flows = lambda rows, by=by: exact.ground_truth(rows, KEYS, by)
+    reads = lambda rows: flows(rows) if made.takes == "flows" else rows.withColumn("value", exact.weight(by))
+    held: list[DataFrame] = []
+
+    def hold(frame: DataFrame) -> DataFrame:
+        held.append(frame.cache())
+        return frame
+
+    try:
+        truth = hold(flows(records))
+        packets, found = records.count(), truth.count()
+        out: dict[str, dict[str, object]] = {"size": {"SIZE": made.size}}
+        state = None
+        if set(asked) & {"update", "query", "heavyhitter", "decode"}:
+            state = hold(made.build(reads(records)))
+            out["update"] = clocked(test, "update", packets, state)
+        for routine in asked:
+            metrics, podf, ticks = wanted(test, routine)
+            got: dict[str, object] = {}
+            if routine == "query":
+                joined = hold(made.query(state, truth.select("key", "value")))
+                got = clocked(test, routine, found, joined) | measured(ev.errors(joined, podf))
+                if ticks:
+                    got["DIST"] = [tuple(r) for r in ev.distribution(joined, ticks).orderBy("tick").collect()]
+            elif routine in ("insert", "lookup") and "lookup" not in out:
+                share = test.get("sample", float, False) or 0.3
+                sample = exact.prefix(records, share)
+                built = hold(made.build(exact.ground_truth(sample, KEYS) if made.takes == "flows" else sample.withColumn("value", exact.weight(by))))
+                out["insert"] = clocked(test, "insert", int(share * packets), built)
+                looked = made.lookup(built, truth).join(sample.select("key").distinct().withColumn("m", F.lit(True)), "key", "left")
+                looked = looked.select("found", F.coalesce("m", F.lit(False)).alias("member"))
+                metrics = wanted(test, "lookup")[0]
+                out["lookup"] = {k: v for k, v in (clocked(test, "lookup", found, looked) | measured(ev.lookups(looked))).items() if k in metrics}
+                continue
+            elif routine in ("heavyhitter", "heavychanger"):
+                method, threshold = hitters(data, "threshold_heavy_hitter" if routine == "heavyhitter" else "threshold_heavy_changer")
+                if routine == "heavyhitter":
+                    real, total = exact.heavy_hitters(truth, threshold, method), truth
+                    find = lambda cut: made.heavy_hitters(state, cut)
+                else:
+                    one, two = exact.halves(records)
+                    total = hold(exact.record_differences(one, two, KEYS, by))
+                    real = exact.heavy_changers(total, KEYS, threshold, method)
+                    states = [hold(made.build(reads(x))) for x in (one, two)]
+                    find = lambda cut: made.changers(*states, cut)
+                # the sketch reports from a value on, the exact answer over a share: so one more than the share's cut
+                least = real.agg(F.min("value")) if method == "topk" else total.agg(F.floor(F.lit(threshold) * F.sum("value") + 1).cast("long"))
+                detected = fitting(find(least.first()[0] or 1), truth)
+                got = clocked(test, routine, 1, detected) | measured(ev.detections(real, detected, KEYS))
+            elif routine == "decode":
+                decoded = hold(fitting(made.decode(state), truth))
+                got = clocked(test, routine, 1, decoded) | measured(ev.decodings(truth, decoded, KEYS, podf or 0.0))
+                if ticks:
+                    got["DIST"] = [tuple(r) for r in ev.decoded_distribution(truth, decoded, KEYS, ticks).orderBy("tick").collect()]
+            else:
+                continue
+            out[routine] = {k: v for k, v in got.items() if k in metrics}
+        return out
+    finally:
+        for frame in held:
+            frame.unpersist()
+
+
+def fitting(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """What a sketch found, with keys of the truth's type (that nothing was found says nothing of the keys' type)."""
+    kind = truth.schema["key"].dataType
+    return found if found.schema["key"].dataType == kind else found.select(F.lit(None).cast(kind).alias("key"), "est")
+
+
+def hitters(data: Config, threshold: str) -> tuple[str, float]:
+    """Method and threshold of heavy hitters or changers; ValueError without the threshold."""
+    value = data.get(threshold, float)
+    if value is None:
+        raise ValueError(f"no {threshold}")
+    return ("percentile" if data.get("hx_method", str, False) == "Percentile" else "topk"), value

@@ -6,18 +6,23 @@ BIGINT, every ratio rounded to six places, on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ..functions import flowkey
-from ..functions.hashing import P, fold
+from ..functions.hashing import WORD_BYTES, WORDS, HashFamily, P, fold
+from ..functions.numbers import next_prime
 from ..operators import evaluate as ev
 from ..operators import exact
 from ..operators.linear import Bloom, CountingBloom, CountMin, FlowRadar
-from ..operators.ordered import ConservativeUpdate, HashPipe, HierarchyCountMin, counting_bloom_fold, decode
+from ..operators.ordered import ConservativeUpdate, HashPipe, HierarchyCountMin, counting_bloom_fold
+from ..sources import formats, pcap
 from ..sources.records import events, lineitem
+from ..sources.scratch import scratch
 
 CM = CountMin(3, 200, seed=1)
 CS = CountMin(3, 200, seed=7, signed=True)
@@ -25,8 +30,12 @@ CM_PAIRS = CountMin(5, 5000, seed=9)
 BLOOM = Bloom(1000, 3, seed=2)
 CBF = CountingBloom(1000, 3, bits=8, seed=3)
 RADAR = FlowRadar(200_000, 4, 9000, 3, seed=4)
+RADAR_TUPLES = FlowRadar(8_000_000, 4, 200_000, 3, seed=8)
 CU = ConservativeUpdate(3, 200, shards=4)
-PIPE = HashPipe(4, 400, shards=4)
+CU_ONE = ConservativeUpdate(3, 100)
+PIPE = HashPipe(3, 120, shards=4)
+PIPE_ONE = HashPipe(3, 60)
+CBF_COUNTERS, CBF_HASHES = 1000, 3
 CH = HierarchyCountMin(3, 200, 0.4, (6, 20), (3,), seed=1)
 TICKS = [0.0, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0]
 SAMPLE, PODF, TOP, SHARE = 0.3, 0.1, 20, 0.001
@@ -49,7 +58,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # -- shared pieces of SQL --------------------------------------------------
 EV = "ev AS (SELECT event_id AS seq, user_id AS key, event_type, CAST(floor(value) AS BIGINT) + 1 AS length, ts FROM events)"
 GT = f"{EV}, gt AS (SELECT key, CAST(count(*) AS BIGINT) AS value, min(seq) AS first_seen FROM ev WHERE key IS NOT NULL GROUP BY key)"
-HALF = "half AS (SELECT (max(event_id) + 1) // 2 AS h FROM events)"
+HALF = "half AS (SELECT (max(event_id) + 1) // 2 AS h FROM events WHERE user_id IS NOT NULL)"
 DIFF = f"{EV}, {HALF}, diff AS (SELECT key, abs(CAST(sum(CASE WHEN seq < h THEN 1 ELSE -1 END) AS BIGINT)) AS value FROM ev, half WHERE key IS NOT NULL GROUP BY key)"
 
 
@@ -79,9 +88,7 @@ def _truth(spark: SparkSession, sf_dir: str, by: str = "packets") -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = events(spark, sf_dir).where(F.col("key").isNotNull())
-    h = ((e.agg(F.max("seq")).first()[0] or 0) + 1) // 2
-    return e.where(F.col("seq") < h), e.where(F.col("seq") >= h)
+    return exact.halves(events(spark, sf_dir).where(F.col("key").isNotNull()))
 
 
 # -- records, keys, weights --------------------------------------------------
@@ -120,8 +127,7 @@ def key_xor(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT seq, key, length FROM ev WHERE seq < CAST(floor(CAST({SAMPLE} AS DOUBLE) * (SELECT count(*) FROM ev)) AS BIGINT)")
 def prefix_sample(spark, sf_dir):
-    e = events(spark, sf_dir).select("seq", "key", "length")
-    return exact.prefix(e, SAMPLE, e.count())
+    return exact.prefix(events(spark, sf_dir).select("seq", "key", "length"), SAMPLE)
 
 
 @query(f"WITH {EV} SELECT seq, key FROM ev WHERE seq >= 100 AND seq < 700")
@@ -165,9 +171,9 @@ def equal_range(spark, sf_dir):
     return exact.equal_range(_truth(spark, sf_dir), 66).select("key", "value")
 
 
-@query(f"WITH {GT}, w AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey % 7 = 0) SELECT key, value, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS count FROM w LEFT JOIN gt USING (key)")
+@query(f"WITH {GT}, w AS (SELECT DISTINCT o_custkey AS key FROM orders) SELECT key, value, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS count FROM w LEFT JOIN gt USING (key)")
 def point_lookup(spark, sf_dir):
-    wanted = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("key")).where("key % 7 = 0").distinct()
+    wanted = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("key")).distinct()
     return exact.lookup(_truth(spark, sf_dir), wanted, ["key"])
 
 
@@ -267,7 +273,7 @@ _BITS = f"{EV}, {_family('h', BLOOM.hashes)}, sample AS (SELECT DISTINCT key FRO
 
 def _bloom(spark, sf_dir):
     e = events(spark, sf_dir).where("key is not null")
-    sample = exact.prefix(e, SAMPLE, e.count()).select("key").distinct()
+    sample = exact.prefix(e, SAMPLE).select("key").distinct()
     return sample, BLOOM.lookup(BLOOM.build(sample), e)
 
 
@@ -365,32 +371,96 @@ def hc_eval(spark, sf_dir):
     return ev.detections(top, est.where("est >= cut"), ["key"])
 
 
-# -- order-dependent sketches (tested against sequential references) -------------------
+# -- order-dependent sketches ------------------------------------------------------------
+# In SQL a fold is list_reduce over a shard's packets in order; the state is a list of counters.
 def _packets(spark, sf_dir):
     return events(spark, sf_dir).where("key is not null").select("seq", "key", F.lit(1).cast("long").alias("value"))
 
 
-@query()
+def _place_sql(hashes: HashFamily, i: int, key: str, width: int) -> str:
+    a, b, *_ = hashes.constants[i]
+    return f"((CAST({a} AS BIGINT) * ({key} % {P}) + {b}) % {P}) % {width}"
+
+
+def _fold_sql(shards: int, element: str, step: str, size: int) -> str:
+    """CTE folded (shard, s): a list of ``size`` numbers after all elements x; step gives the i-th number from v, acc and x."""
+    return (
+        f"steps AS (SELECT {_place_sql(HashFamily(1, 77), 0, 'key', shards)} AS shard, list({element} ORDER BY seq) AS xs FROM ev WHERE key IS NOT NULL GROUP BY 1), "
+        f"folded AS (SELECT shard, list_reduce(xs, lambda acc, x: list_transform(acc, lambda v, i: {step}), list_transform(range({size}), lambda z: CAST(0 AS BIGINT))) AS s FROM steps)"
+    )
+
+
+def _cu_sql(cu: ConservativeUpdate) -> str:
+    h, w, d = HashFamily(cu.depth, cu.seed), cu.shard_width, range(cu.depth)
+    at = [f"{_place_sql(h, i, 'key', w)} + {i * w + 1}" for i in d]
+    step = f"CASE WHEN list_contains(x, i) THEN greatest(v, 1 + least({', '.join(f'acc[x[{i + 1}]]' for i in d)})) ELSE v END"
+    return f"WITH {GT}, {_fold_sql(cu.shards, f'[{", ".join(at)}]', step, cu.depth * w)} SELECT key, value, least({', '.join(f's[{x}]' for x in at)}) AS est FROM gt JOIN folded ON shard = {_place_sql(HashFamily(1, 77), 0, 'key', cu.shards)}"
+
+
+def _pipe_sql(pipe: HashPipe, least: int) -> str:
+    """The state holds all slots' keys, then their values (0: empty), then the key and value on their way (0: none); a packet is one step a stage."""
+    h, w, d = HashFamily(pipe.depth, pipe.seed), pipe.shard_width, pipe.depth
+    n = d * w
+    moving, weight = f"(CASE WHEN x[1] = 0 THEN x[2] ELSE acc[{2 * n + 1}] END)", f"(CASE WHEN x[1] = 0 THEN 1 ELSE acc[{2 * n + 2}] END)"
+    slot = f"(x[1] * {w} + 1 + CASE x[1] " + " ".join(f"WHEN {i} THEN {_place_sql(h, i, moving, w)}" for i in range(d)) + " END)"
+    key, value = f"acc[{slot}]", f"acc[{slot} + {n}]"
+    swap = f"({value} = 0 OR x[1] = 0 OR {value} < {weight})"
+    step = (
+        f"CASE WHEN {weight} = 0 THEN v WHEN {value} > 0 AND {key} = {moving} THEN CASE i WHEN {slot} + {n} THEN v + {weight} WHEN {2 * n + 2} THEN 0 ELSE v END "
+        f"WHEN {swap} THEN CASE i WHEN {slot} THEN {moving} WHEN {slot} + {n} THEN {weight} WHEN {2 * n + 1} THEN {key} WHEN {2 * n + 2} THEN {value} ELSE v END "
+        f"ELSE CASE i WHEN {2 * n + 1} THEN {moving} WHEN {2 * n + 2} THEN {weight} ELSE v END END"
+    )
+    steps = f"flatten(list(list_transform(range({d}), lambda z: [z, key]) ORDER BY seq))"
+    folded = _fold_sql(pipe.shards, "0", step, 2 * n + 2).replace("list(0 ORDER BY seq)", steps)
+    return f"WITH {EV}, {folded}, slots AS (SELECT unnest(s[1:{n}]) AS key, unnest(s[{n + 1}:{2 * n}]) AS value FROM folded) SELECT key, CAST(sum(value) AS BIGINT) AS est FROM slots WHERE value > 0 GROUP BY key HAVING sum(value) >= {least}"
+
+
+def _removal_sql(counters: int, hashes: int, shards: int) -> str:
+    h, w = HashFamily(hashes, 3), next_prime(-(-counters // shards))
+    at = ", ".join(f"{_place_sql(h, i, 'key', w)} + 1" for i in range(hashes))
+    inserts = "CASE WHEN coalesce(event_type, '') <> 'purchase' THEN 1 ELSE 0 END"
+    has = " AND ".join(f"acc[x[{i + 2}]] > 0" for i in range(hashes))
+    times = " + ".join(f"CAST(i = x[{i + 2}] AS BIGINT)" for i in range(hashes))
+    step = f"v + (CASE WHEN x[1] = 1 AND NOT ({has}) THEN 1 WHEN x[1] = 0 AND {has} THEN -1 ELSE 0 END) * ({times})"
+    return f"WITH {EV}, {_fold_sql(shards, f'[{inserts}, {at}]', step, w)}, u AS (SELECT shard, unnest(range({w})) AS pos, unnest(s) AS n FROM folded) SELECT shard, pos, n FROM u WHERE n > 0"
+
+
+def _cu(sketch: ConservativeUpdate, spark, sf_dir):
+    return sketch.query(sketch.build(_packets(spark, sf_dir)), _truth(spark, sf_dir).select("key", "value"))
+
+
+@query(_cu_sql(CU))
 def cu_estimate(spark, sf_dir):
-    truth = _truth(spark, sf_dir)
-    return CU.query(CU.build(_packets(spark, sf_dir)), truth.select("key", "value"))
+    return _cu(CU, spark, sf_dir)
 
 
-@query()
+@query(_cu_sql(CU_ONE))
+def cu_estimate_one(spark, sf_dir):
+    """One sketch over the whole stream."""
+    return _cu(CU_ONE, spark, sf_dir)
+
+
+@query(_pipe_sql(PIPE, 40))
 def hashpipe_hh(spark, sf_dir):
-    return PIPE.heavy_hitters(PIPE.build(_packets(spark, sf_dir)), 60)
+    return PIPE.heavy_hitters(PIPE.build(_packets(spark, sf_dir)), 40)
+
+
+@query(_pipe_sql(PIPE_ONE, 20))
+def hashpipe_hh_one(spark, sf_dir):
+    """One pipe over the whole stream."""
+    return PIPE_ONE.heavy_hitters(PIPE_ONE.build(_packets(spark, sf_dir)), 20)
 
 
-@query()
+@query(_removal_sql(CBF_COUNTERS, CBF_HASHES, 4))
 def cbf_remove(spark, sf_dir):
     """Purchases remove the user from the filter, other events insert it."""
     ops = events(spark, sf_dir).where("key is not null").select("seq", "key", (F.coalesce(F.col("event_type"), F.lit("")) != "purchase").alias("insert"))
-    return counting_bloom_fold(ops, 2000, 3, bits=8, shards=4)
+    return counting_bloom_fold(ops, CBF_COUNTERS, CBF_HASHES, bits=8, shards=4)
 
 
 @query(f"WITH {_gate_sql(RADAR.filter)} SELECT key, value AS est FROM gate WHERE (SELECT count(*) FROM gate WHERE NOT inserted) = 0")
 def flowradar_decode(spark, sf_dir):
-    return decode(RADAR.build(_truth(spark, sf_dir)), RADAR)
+    return RADAR.decode(RADAR.build(_truth(spark, sf_dir)))
 
 
 @query(
@@ -399,14 +469,162 @@ def flowradar_decode(spark, sf_dir):
 )
 def decode_metrics(spark, sf_dir):
     truth = _truth(spark, sf_dir)
-    return ev.decodings(truth, decode(RADAR.build(truth), RADAR), ["key"], 0.01)
+    return ev.decodings(truth, RADAR.decode(RADAR.build(truth)), ["key"], 0.01)
 
 
 @query(f"WITH {GT}, {_cm_sql(CM)} SELECT key, value, est FROM est")
 def chcm_estimate(spark, sf_dir):
     truth = _truth(spark, sf_dir)
-    plain = CountMin(CH.depth, CH.width, CH.seed)
-    return plain.query(CH.decode(plain.build(truth)), truth.select("key", "value"))
+    return CH.query(CH.build(truth), truth.select("key", "value"))
+
+
+@query(f"WITH {GT}, {_cm_sql(CM)} SELECT r, c, v & {(1 << CH.widths[0]) - 1} AS low, v >> {CH.widths[0]} AS carry FROM cells")
+def chcm_low_layer(spark, sf_dir):
+    """What the hierarchy's lowest layer keeps of each counter, and what it carries."""
+    return CH.low_layer(CH.plain.build(_truth(spark, sf_dir)))
+
+
+def _timed(e: DataFrame) -> DataFrame:
+    """Times without a zone taken as UTC, whatever the session's zone."""
+    if not isinstance(e.schema["timestamp"].dataType, TimestampNTZType):
+        return e
+    return e.withColumn("timestamp", F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp)")))
+
+
+# -- keys of bytes: 5-tuples --------------------------------------------------------------
+def _tuples(spark, sf_dir):
+    e = _timed(events(spark, sf_dir)).where("key is not null and length is not null")
+    return e.withColumn("key", flowkey.pack(F.col("key"), F.col("length"), F.col("key").bitwiseAND(65535), F.lit(80), F.lit(6)))
+
+
+_TUPLE = "(CAST(key AS HUGEINT) + CAST(length AS HUGEINT) * 4294967296 + CAST(key & 65535 AS HUGEINT) * 18446744073709551616 + 80::HUGEINT * 1208925819614629174706176 + 6::HUGEINT * 79228162514264337593543950336)"
+_WORDS = ", ".join(f"CAST((k // {1 << 8 * WORD_BYTES * j}::HUGEINT) % {1 << 8 * WORD_BYTES} AS BIGINT) AS w{j}" for j in range(WORDS))
+TUPLES = f"{EV}, tk AS (SELECT *, {_TUPLE} AS k FROM ev WHERE key IS NOT NULL AND length IS NOT NULL), tuples AS (SELECT k, key, length, CAST(count(*) AS BIGINT) AS value, min(seq) AS first_seen, {_WORDS} FROM tk GROUP BY k, key, length)"
+
+
+def _tuple_family(name: str, hashes: HashFamily) -> str:
+    rows = ", ".join(f"({i}, {b}, " + ", ".join(f"CAST({f} AS BIGINT)" for f in factors) + ")" for i, ((_, b, *_), (factors, _)) in enumerate(zip(hashes.constants, hashes.factors, strict=True)))
+    return f"{name}(r, b, {', '.join(f'f{j}' for j in range(WORDS))}) AS (VALUES {rows})"
+
+
+def _tuple_pos(width: int) -> str:
+    return f"(({' + '.join(f'f{j} * w{j}' for j in range(WORDS))} + b) % {P}) % {width}"
+
+
+@query(
+    f"WITH {TUPLES}, {_tuple_family('h', CM_PAIRS.hashes)}, cells AS (SELECT r, {_tuple_pos(CM_PAIRS.width)} AS c, CAST(sum(value) AS BIGINT) AS v FROM tuples, h GROUP BY 1, 2), "
+    f"est AS (SELECT k, any_value(value) AS value, min(v) AS est FROM tuples CROSS JOIN h JOIN cells ON cells.r = h.r AND cells.c = {_tuple_pos(CM_PAIRS.width)} GROUP BY k) SELECT {ERRORS} FROM est"
+)
+def cm_tuple_metrics(spark, sf_dir):
+    truth = exact.ground_truth(_tuples(spark, sf_dir), ["key"])
+    return ev.errors(CM_PAIRS.query(CM_PAIRS.build(truth), truth.select("key", "value")))
+
+
+_TUPLE_GATE = (
+    f"{TUPLES}, {_tuple_family('h', RADAR_TUPLES.filter.hashes)}, probe AS (SELECT k, first_seen, {_tuple_pos(RADAR_TUPLES.filter.bits)} AS pos FROM tuples, h), least AS (SELECT pos, min(first_seen) AS m FROM probe GROUP BY pos), "
+    "gate AS (SELECT k, NOT bool_and(m < first_seen) AS inserted FROM probe JOIN least USING (pos) GROUP BY k)"
+)
+
+
+@query(f"WITH {_TUPLE_GATE} SELECT CAST(key AS INTEGER) AS src_ip, CAST(length AS INTEGER) AS dst_ip, CAST(80 AS SMALLINT) AS dst_port, CAST(6 AS TINYINT) AS protocol, value AS est FROM tuples WHERE (SELECT count(*) FROM gate WHERE NOT inserted) = 0")
+def flowradar_decode_5tuple(spark, sf_dir):
+    """5-tuples back from XORed cells."""
+    found = RADAR_TUPLES.decode(RADAR_TUPLES.build(exact.ground_truth(_tuples(spark, sf_dir), ["key"])))
+    return found.select(*(flowkey.accessor(F.col("key"), f, 13).alias(f) for f in ("src_ip", "dst_ip", "dst_port", "protocol")), "est")
+
+
+@query(
+    f"WITH {_TUPLE_GATE}, {_tuple_family('t', RADAR_TUPLES.hashes)}, x AS (SELECT {_tuple_pos(RADAR_TUPLES.table)} AS pos, value, inserted, w0 FROM tuples JOIN gate USING (k), t) "
+    "SELECT pos, coalesce(bit_xor(CASE WHEN inserted THEN w0 END), 0) AS xor0, CAST(count(CASE WHEN inserted THEN 1 END) AS BIGINT) AS flow_count, CAST(sum(value) AS BIGINT) AS packet_count FROM x GROUP BY pos"
+)
+def flowradar_cells_5tuple(spark, sf_dir):
+    cells = RADAR_TUPLES.build(exact.ground_truth(_tuples(spark, sf_dir), ["key"]))
+    return cells.select("pos", F.col("flow_xor")[0].alias("xor0"), "flow_count", "packet_count")
+
+
+@query(f"WITH {TUPLES} SELECT CAST(key AS INTEGER) AS src_ip, value FROM tuples ORDER BY value DESC, first_seen LIMIT {TOP}")
+def hh_topk_5tuple(spark, sf_dir):
+    return exact.heavy_hitters(exact.ground_truth(_tuples(spark, sf_dir), ["key"]), TOP).select(flowkey.accessor(F.col("key"), "src_ip", 13).alias("src_ip"), "value")
+
+
+_SIGNED = "list_transform([key & 255, (key >> 8) & 255, (key >> 16) & 255, (key >> 24) & 255], lambda b: CASE WHEN b >= 128 THEN b - 256 ELSE b END)"
+
+
+@query(f"WITH {EV} SELECT DISTINCT key, {_SIGNED} < [5, -100, 0, 0] AS before FROM ev WHERE key IS NOT NULL")
+def signed_key_order(spark, sf_dir):
+    e = events(spark, sf_dir).where("key is not null").select("key").distinct()
+    return e.select("key", flowkey.less(flowkey.pack(F.col("key")), F.lit(bytes([5, 156, 0, 0])), 4).alias("before"))
+
+
+@query(f"WITH {EV}, z AS (SELECT count(*) AS zeros FROM ev WHERE key = 0) SELECT CAST(zeros AS BIGINT) AS zeros FROM z")
+def zero_keys(spark, sf_dir):
+    """Records with a key of zeros, which is a key like any other."""
+    packed = events(spark, sf_dir).where("key is not null").select(flowkey.pack(F.col("key")).alias("k"))
+    return packed.agg(F.count(F.when(F.col("k") == flowkey.zero(4), 1)).alias("zeros"))
+
+
+@query(f"WITH {EV} SELECT DISTINCT key, ((key & 255) << 24) + (((key >> 8) & 255) << 16) + (((key >> 16) & 255) << 8) + ((key >> 24) & 255) AS turned FROM ev WHERE key IS NOT NULL")
+def network_order(spark, sf_dir):
+    e = events(spark, sf_dir).where("key is not null").select("key").distinct()
+    return e.select("key", flowkey.network(flowkey.pack(F.col("key")), 0, 4).alias("turned"))
+
+
+@query(f"WITH {EV}, gt AS (SELECT key, CAST(sum(length) AS BIGINT) AS value FROM ev WHERE key IS NOT NULL AND length IS NOT NULL GROUP BY key) SELECT key, value, value > 8191 AS overflow FROM gt")
+def counter_overflow(spark, sf_dir):
+    """Totals that a signed counter of 14 bits couldn't hold."""
+    return exact.flag_overflow(_truth(spark, sf_dir, "length"), 14).select("key", "value", "overflow")
+
+
+# -- sources and sinks ------------------------------------------------------------------------
+def _folder(spark) -> str:
+    return f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+
+
+_NUMBERED = f"{EV}, numbered AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, key, length, ts FROM ev WHERE key IS NOT NULL AND length IS NOT NULL)"
+FORMAT = [["flowkey", "padding", "timestamp", "length", "padding"], [13, 3, 8, 2, 6]]
+
+
+@query(f"WITH {_NUMBERED} SELECT CAST(seq AS BIGINT) AS seq, CAST(key AS INTEGER) AS src_ip, CAST(length AS INTEGER) AS dst_ip, epoch_us(ts) AS micros, length & 65535 AS length FROM numbered")
+def record_files_round_trip(spark, sf_dir):
+    """Records to binary files of the default format, and back in order."""
+    fmt, folder = formats.RecordFormat.parse(FORMAT), _folder(spark)
+    formats.write_record_files(_tuples(spark, sf_dir).withColumnRenamed("key", "flowkey"), folder, fmt)
+    back = formats.read_records(spark, folder, fmt)
+    return back.select("seq", *(flowkey.accessor(F.col("flowkey"), f, 13).alias(f) for f in ("src_ip", "dst_ip")), F.unix_micros("timestamp").alias("micros"), "length")
+
+
+@query(f"WITH {EV} SELECT seq, lpad(lower(hex(key)), 8, '0') AS address, length FROM ev WHERE key IS NOT NULL AND length IS NOT NULL")
+def text_round_trip(spark, sf_dir):
+    """Records to CSV, and back."""
+    folder = _folder(spark)
+    e = events(spark, sf_dir).where("key is not null and length is not null")
+    formats.write(e.select("seq", flowkey.pack(F.col("key")).alias("flowkey"), "length"), folder, "txt")
+    return spark.read.schema("seq long, flowkey string, length long").csv(folder, header=True).select("seq", F.lower(F.lpad(F.hex(flowkey.unsigned(F.unhex("flowkey"), 0, 4)), 8, "0")).alias("address"), "length")
+
+
+_PACKETS = f"{_NUMBERED}, packet AS (SELECT seq, key, length, ts, CASE WHEN key % 3 = 0 THEN 6 WHEN key % 3 = 1 THEN 17 ELSE 1 END AS protocol, 20 + length % 1000 AS size FROM numbered)"
+
+
+@query(f"WITH {_PACKETS} SELECT key AS src_ip, length AS dst_ip, CAST(key % 60000 AS INTEGER) AS src_port, CAST(protocol AS INTEGER) AS protocol, epoch_us(ts) AS micros, size AS length FROM packet WHERE protocol <> 1 AND (protocol = 17 OR size > 100)")
+def capture_round_trip(spark, sf_dir):
+    """Packets to capture files, and back through a filter; what is neither TCP nor UDP has no 5-tuple."""
+    folder = _folder(spark)
+    e = events(spark, sf_dir).where("key is not null and length is not null")
+    e = _timed(e)
+    protocol = F.when(F.col("key") % 3 == 0, 6).when(F.col("key") % 3 == 1, 17).otherwise(1)
+    rows = e.select("seq", "timestamp", F.col("key").alias("src_ip"), F.col("length").alias("dst_ip"), (F.col("key") % 60000).cast("int").alias("src_port"), F.lit(53).alias("dst_port"), protocol.alias("protocol"), (F.col("length") % 1000 + 20).alias("length"))
+    pcap.write_captures(rows, folder)
+    back = pcap.read_capture(spark, folder).where(pcap.packet_filter("ip && (udp || (tcp && greater 101))"))
+    return back.select("src_ip", "dst_ip", "src_port", "protocol", F.unix_micros("timestamp").alias("micros"), "length")
+
+
+@query("SELECT 'pcap' AS format, CAST(101 AS INTEGER) AS link_type, true AS filled")
+def capture_summary(spark, sf_dir):
+    """Format and link type of captures, by file."""
+    folder = _folder(spark)
+    e = _timed(events(spark, sf_dir)).where("key is not null").select("seq", "timestamp", F.col("key").alias("src_ip"), F.lit(1).cast("long").alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"), F.lit(6).alias("protocol"), F.lit(40).cast("long").alias("length"))
+    pcap.write_captures(e, folder)
+    return pcap.capture_summaries(spark, folder).groupBy("format", "link_type").agg((F.sum("size") > 24).alias("filled"))
 
 
 def queries() -> dict[str, Query]:

@@ -30,6 +30,15 @@ class Config:
     def succeed(self) -> bool:
         return self._root is not None
 
+    @property
+    def exists(self) -> bool:
+        """Whether the working table is there."""
+        return self._node is not None
+
+    def items(self) -> dict[str, Any]:
+        """What the working table holds, as it is."""
+        return dict(self._node or {})
+
     def at(self, path: str = "") -> Config:
         """The config with another working table, from the root; a path that isn't a table reads None everywhere."""
         out = object.__new__(Config)

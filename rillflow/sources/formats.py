@@ -13,9 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes that a task reads of a file, and records it decodes at once.
+RANGE, CHUNK = 64 << 20, 1 << 16
 SCHEMA = "seq long, flowkey binary, timestamp timestamp, length long"
 
 
@@ -80,29 +84,62 @@ class RecordFormat:
         return out.tobytes()
 
 
+def reachable(path: str) -> bool:
+    """Whether Python workers can open a path of Spark's themselves."""
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
+
+
 def read_records(spark: SparkSession, path: str, fmt: RecordFormat, key_length: int | None = None) -> DataFrame:
-    """Records of a file or folder of files, with seq in order of path and place.
+    """Records of a file or folder of files, with seq counting from 0 in order of path and place.
 
-    Files are read by Spark's own reader, one task a file (up to 2 GB each); the
-    number of files is all that the driver sees.  A file whose size is no
-    multiple of the record length fails.
+    Spark lists the files with their sizes; each is cut into ranges of whole
+    records of about ``RANGE`` bytes, which tasks read on their own.  Where
+    workers can't open the store, Spark reads whole files (up to 2 GB), one a
+    row.  A file whose size is no multiple of the record length fails.
     """
     if key_length is not None and key_length != fmt.key_length:
         raise ValueError("keys of another length than the format's")
+    width = fmt.width
     files = spark.read.format("binaryFile").load(path)
-    order = [r[0] for r in files.select("path").orderBy("path").collect()]
-    ranks = {p: k for k, p in enumerate(order)}
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = fmt.decode(content)
-                n = len(got["flowkey"])
-                ts = pa.array(got["timestamp"], pa.timestamp("us", "UTC")) if got["timestamp"] is not None else pa.nulls(n, pa.timestamp("us", "UTC"))
-                length = pa.array(got["length"], pa.int64()) if got["length"] is not None else pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64) + (ranks[name] << 40)), pa.array(got["flowkey"], pa.binary()), ts, length], ["seq", "flowkey", "timestamp", "length"])
-
-    return files.select("path", "content").mapInArrow(kernel, SCHEMA)
+    whole = F.when(F.col("length") % width == 0, F.expr(f"length div {width}")).otherwise(F.raise_error(F.concat(F.lit("size is no multiple of the record length: "), "path")).cast("long"))
+    listed = files.select("path", "length").withColumn("rows", whole)
+    # one row a file, ordered in one task: names and sizes only
+    placed = listed.withColumn("first", F.sum("rows").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = placed.select("path", "rows", F.coalesce("first", F.lit(0)).alias("first"))
+
+    def batch(data: bytes, first: int) -> pa.RecordBatch:
+        got = fmt.decode(data)
+        n = len(got["flowkey"])
+        ts = pa.array(got["timestamp"], pa.timestamp("us", "UTC")) if got["timestamp"] is not None else pa.nulls(n, pa.timestamp("us", "UTC"))
+        length = pa.array(got["length"], pa.int64()) if got["length"] is not None else pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int64) + first), pa.array(got["flowkey"], pa.binary()), ts, length], ["seq", "flowkey", "timestamp", "length"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for name, first, at, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                system, place = fs.FileSystem.from_uri(name)
+                with system.open_input_file(place) as f:
+                    for k in range(at, at + n, CHUNK):
+                        f.seek(k * width)
+                        yield batch(f.read(min(CHUNK, at + n - k) * width), first + k)
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for first, content in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                for k in range(0, len(content), CHUNK * width):
+                    yield batch(content[k : k + CHUNK * width], first + k // width)
+
+    known = files.select("path").first()
+    if known is None or reachable(known[0]):
+        each = max(1, RANGE // width)
+        cut = placed.where("rows > 0").select("path", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(each).cast("long"))).alias("at"), "rows")
+        cut = cut.select("path", "first", "at", F.least(F.lit(each), F.col("rows") - F.col("at")).alias("n"))
+        return cut.repartition("path", "at").mapInArrow(ranges, SCHEMA)
+    return files.select("path", "content").join(placed.select("path", "first"), "path").select("first", "content").mapInArrow(contents, SCHEMA)
 
 
 def encoded(records: DataFrame, fmt: RecordFormat) -> DataFrame:
@@ -122,8 +159,27 @@ def encoded(records: DataFrame, fmt: RecordFormat) -> DataFrame:
     return rows.repartitionByRange("seq").sortWithinPartitions("seq").mapInArrow(kernel, "part long, data binary")
 
 
+def write_record_files(records: DataFrame, folder: str, fmt: RecordFormat) -> int:
+    """One file a partition, written by the tasks to a folder that all of them reach, in seq order across the files' names.  A file appears whole, under its name, whatever attempt of the task makes it.  Returns the number of records."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        system, place = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(place, recursive=True)
+        name, draft = f"{place}/part-{task.partitionId():06d}.bin", f"{place}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        size = 0
+        with system.open_output_stream(draft) as f:
+            for batch in batches:
+                for data in batch.column(1).to_pylist():
+                    size += f.write(data)
+        system.move(draft, name)
+        yield pa.RecordBatch.from_arrays([pa.array([size // fmt.width], pa.int64())], ["n"])
+
+    return encoded(records, fmt).mapInArrow(kernel, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_records(records: DataFrame, path: str, fmt: RecordFormat) -> int:
-    """One local file of records in seq order (small results and exchange with other tools; Parquet is the sink for large ones).  Chunks come to the driver one at a time.  Returns the number of records."""
+    """One local file of records in seq order (small results and exchange with other tools; ``write_record_files`` is the sink for large ones).  Chunks come to the driver one at a time.  Returns the number of records."""
     size = 0
     with open(path, "wb") as f:
         for row in encoded(records, fmt).orderBy("part").toLocalIterator():

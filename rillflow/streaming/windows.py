@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.hashing import hashed, shard_of
 from ..operators.exact import weight
 from ..operators.linear import CountMin
 
@@ -28,7 +29,7 @@ def windowed_truth(records: DataFrame, keys: list[str], window: str, delay: str,
 
 def windowed_cells(records: DataFrame, sketch: CountMin, window: str, delay: str, key: str = "key", by: str = "packets") -> DataFrame:
     """(start, r, c, v): the cells of each window's sketch.  Sketches of windows may be merged, or subtracted for changers."""
-    rows = records.withWatermark("timestamp", delay).select("timestamp", F.explode(sketch._entries(F.col(key), weight(by))).alias("e"))
+    rows = records.withWatermark("timestamp", delay).select("timestamp", F.explode(sketch.entries(hashed(records, key), weight(by))).alias("e"))
     return rows.groupBy(F.window("timestamp", window).alias("w"), F.col("e.r").alias("r"), F.col("e.c").alias("c")).agg(F.sum("e.v").cast("long").alias("v")).select(F.col("w.start").alias("start"), "r", "c", "v")
 
 
@@ -42,7 +43,7 @@ def windowed_changers(cells: DataFrame, sketch: CountMin, keys: DataFrame, befor
 
 def stream_fold(records: DataFrame, columns: list[str], shards: int, make: Callable[[], object], schema: str, key: str = "key") -> DataFrame:
     """Updated rows of each shard's sketch after each micro-batch; the state survives between batches and restarts in the checkpoint."""
-    dealt = records.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("long").alias("shard"), F.col("seq").alias("_seq"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    dealt = records.select(shard_of(records, key, shards).alias("shard"), F.col("seq").alias("_seq"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
     names = ["shard", *[c.split()[0] for c in schema.split(",")]]
     args = [f"_{i}" for i in range(len(columns))]
 

@@ -128,10 +128,10 @@ def test_caps_and_samples(spark):
     assert seen == STREAM[:3] and len(set(seen)) == 3
     assert exact.flow_cap(r, ["key"], -1).count() == exact.flow_cap(r, ["key"], 11).count() == 32
     assert exact.packet_cap(r, 5).count() == 5 and exact.packet_cap(r, -1).count() == 32
-    assert exact.prefix(r, 0.3, 32).count() == 9
+    assert exact.prefix(r, 0.3).count() == 9
     for bad in (0, -1, 1.5):
         with pytest.raises(ValueError):
-            exact.prefix(r, bad, 32)
+            exact.prefix(r, bad)
 
 
 def test_upsert_and_spurious(spark):
@@ -147,3 +147,20 @@ def test_random_streams_by_counting(spark):
     keys = [r.randrange(40) for _ in range(500)]
     truth = values(exact.ground_truth(records(spark, keys), ["key"]))
     assert truth == {k: keys.count(k) for k in set(keys)}
+
+
+def test_odd_values(spark):
+    """Keys with quotes and of bytes; null keys and weights; unknown methods; overflow."""
+    t = spark.createDataFrame([("it's", b"\x01\x02", 5), ("x", b"\x00", 300)], "name string, raw binary, value long")
+    assert exact.value_of(t, {"name": "it's"}) == 5 and exact.value_of(t, {"raw": b"\x00", "name": "x"}) == 300
+    with pytest.raises(KeyError):
+        exact.value_of(t, {"name": "' or 1=1 --"})
+    assert [r["overflow"] for r in exact.flag_overflow(t, 9).orderBy("value").collect()] == [False, True]
+    a = spark.createDataFrame([(0, 1, 5), (1, None, 7), (2, 2, None), (3, 3, None), (4, 3, 2)], "seq long, key long, length long")
+    b = a.where("key = 1 or key is null")
+    both = exact.differences(exact.ground_truth(a, ["key"], "length"), exact.ground_truth(b, ["key"], "length"), ["key"])
+    assert values(exact.record_differences(a, b, ["key"], "length")) == values(both) == {1: 0, 3: 2}
+    truth = exact.ground_truth(records(spark, STREAM), ["key"])
+    assert values(exact.heavy_hitters(truth, 2, "Nonsense")) == values(exact.heavy_hitters(truth, 2)) and values(exact.heavy_hitters(truth, 0.1, "Percentile")) == values(exact.heavy_hitters(truth, 0.1, "percentile"))
+    one, two = exact.halves(records(spark, STREAM))
+    assert one.count() == two.count() == 16 and exact.prefix(one.where("false"), 0.5).count() == 0

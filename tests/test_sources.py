@@ -1,5 +1,6 @@
 """Configuration, binary records, captures, streaming, command line, queries."""
 
+import random
 import struct
 
 import pytest
@@ -146,7 +147,7 @@ def test_evaluation(spark, tmp_path):
     sections = {"CM": "depth = 3\nwidth = 50", "HP": "depth = 3\nwidth = 50", "BF": "bits = 500\ncount = 3", "FR": "filter_bits = 9000\nfilter_hashes = 3\ntable = 100\ntable_hashes = 3"}
     text = ""
     for s, p in sections.items():
-        text += f'[{s}.para]\n{p}\n[{s}.data]\ndata = "{tmp_path}/r.bin"\ncnt_method = "InPacket"\ntopk = 5.0\nformat = [["flowkey", "length"], [4, 2]]\n'
+        text += f'[{s}.para]\n{p}\n[{s}.data]\ndata = "{tmp_path}/r.bin"\ncnt_method = "InPacket"\nthreshold_heavy_hitter = 5\nformat = [["flowkey", "length"], [4, 2]]\n'
         text += f'[{s}.test]\nquery = ["ARE", "AAE", "PODF", "DIST", "ODD"]\nquery_dist = [0.1]\nupdate = ["RATE"]\nheavyhitter = ["TIME", "PRC", "RCL"]\nlookup = ["TP", "FN"]\ndecode = ["RATIO", "ACC"]\n'
     conf.write_text(text)
     cm = evaluate(spark, str(conf), "CM", "count_min")
@@ -159,6 +160,127 @@ def test_evaluation(spark, tmp_path):
         evaluate(spark, str(conf), "XX", "count_min")
 
 
+#: The sections, parameters and metrics that the format's users have (fixed names), at a smaller size.
+CONFIG = """
+[BF.para]
+num_bits = 2577
+num_hash = 5
+[BF.test]
+sample = 0.3
+insert = ["RATE"]
+lookup = ["RATE", "PRC"]
+[CM.para]
+depth = 5
+width = 801
+[CM.test]
+update = ["RATE"]
+query = ["RATE", "ARE", "AAE"]
+[CM.ch]
+cnt_no_ratio = 0.3
+width_cnt = [10, 7]
+no_hash = [3]
+[HP.para]
+depth = 5
+width = 101
+[HP.test]
+update = ["RATE"]
+heavyhitter = ["TIME", "ARE", "PRC", "RCL"]
+heavychanger = ["PRC", "RCL", "F1"]
+[FlowRadar.para]
+flow_filter_bit = 10000
+flow_filter_hash = 10
+count_table_num = 500
+count_table_hash = 5
+[FlowRadar.test]
+update = ["RATE"]
+decode = ["TIME", "ARE", "AAE", "RATIO", "ACC", "PODF", "DIST"]
+decode_podf = 0.01
+decode_dist = [0.0, 0.5]
+[CBF.para]
+num_cnt = 2000
+num_hash = 3
+cnt_length = 4
+[CBF.test]
+sample = 0.3
+insert = ["RATE"]
+lookup = ["RATE", "PRC"]
+"""
+
+
+def test_whole_configuration(spark, tmp_path):
+    """Every section over 13-byte keys, the hierarchy, a sketch of one's own, and the two ways to choose hitters."""
+    from rillflow.operators import sketch
+
+    r = random.Random(3)
+    keys = [r.randbytes(13) for _ in range(90)]
+    fmt = RecordFormat.parse([["flowkey", "padding", "timestamp", "length", "padding"], [13, 3, 8, 2, 6]])
+    order = [min(int(r.paretovariate(0.5)) - 1, 89) for _ in range(2000)]
+    (tmp_path / "records.bin").write_bytes(fmt.encode([keys[i] for i in order], list(range(2000)), [40 + i for i in order]))
+    data = f'data = "{tmp_path}/records.bin"\nformat = [["flowkey", "padding", "timestamp", "length", "padding"], [13, 3, 8, 2, 6]]\n'
+    text = CONFIG + "".join(f"[{s}.data]\n{data}" for s in ("BF", "FlowRadar", "CBF")) + f'[CM.data]\n{data}cnt_method = "InPacket"\n'
+    conf = tmp_path / "c.toml"
+
+    def run(section, name, hitters='hx_method = "TopK"\nthreshold_heavy_hitter = 10\nthreshold_heavy_changer = 5\ncnt_method = "InPacket"\n'):
+        conf.write_text(f"{text}[HP.data]\n{data}{hitters}")
+        return evaluate(spark, str(conf), section, name)
+
+    flows = len(set(order))
+    for section, name in (("BF", "bloom"), ("CBF", "counting_bloom")):
+        got = run(section, name)
+        assert set(got["lookup"]) == {"RATE", "PRC"} and got["insert"]["RATE"] > 0 and got["lookup"]["PRC"] > 0.5
+    plain, ch = run("CM", "count_min"), run("CM", "hierarchy_count_min")
+    assert set(plain["query"]) == {"RATE", "ARE", "AAE"} == set(ch["query"])
+    assert {k: plain["query"][k] for k in ("ARE", "AAE")} == {k: ch["query"][k] for k in ("ARE", "AAE")} and ch["size"]["SIZE"] < plain["size"]["SIZE"]
+    for name in ("conservative_update", "count_sketch"):
+        assert set(run("CM", name)["query"]) == {"RATE", "ARE", "AAE"}
+    top = run("HP", "hashpipe")
+    assert top["heavyhitter"]["RCL"] == top["heavyhitter"]["PRC"] == 1.0 and top["heavyhitter"]["ARE"] == 0.0 and top["heavychanger"]["RCL"] == 1.0
+    share = run("HP", "hashpipe", 'hx_method = "Percentile"\nthreshold_heavy_hitter = 0.01\nthreshold_heavy_changer = 0.05\ncnt_method = "InLength"\n')
+    assert share["heavyhitter"]["RCL"] == share["heavyhitter"]["PRC"] == 1.0 == share["heavychanger"]["F1"]
+    with pytest.raises(ValueError, match="threshold_heavy_hitter"):
+        run("HP", "hashpipe", "")
+    radar = run("FlowRadar", "flowradar")["decode"]
+    assert radar["RATIO"] == radar["ACC"] == radar["PODF"] == 1.0 and radar["ARE"] == 0.0 and radar["DIST"] == [(0.0, 1.0), (0.5, 0.0), (float("inf"), 0.0)]
+
+    @sketch.register("exact_counts", {"width": "most"})
+    class Counts(sketch.Sketch):
+        """A sketch of one's own that forgets nothing."""
+
+        takes = "flows"
+
+        def __init__(self, depth, most):
+            self.size = most
+
+        def build(self, flows):
+            return flows.select("key", "value")
+
+        def query(self, state, keys, key="key"):
+            return keys.join(state.withColumnRenamed("value", "est"), "key")
+
+        def changers(self, state, other, threshold):
+            return exact.differences(state, other, ["key"]).withColumnRenamed("value", "est").where(F.col("est") >= threshold)
+
+    own = run("CM", "exact_counts")
+    assert own["size"] == {"SIZE": 801} and own["query"]["ARE"] == own["query"]["AAE"] == 0.0
+    changes = run("HP", "exact_counts")
+    assert changes["heavychanger"]["RCL"] == 1.0 and changes["heavyhitter"]["RCL"] == 0.0 and flows > 20
+
+
+def test_record_files(spark, tmp_path, monkeypatch):
+    """Files of several partitions, read in ranges of few records, or whole where workers can't open them."""
+    fmt = RecordFormat.parse([["flowkey", "length"], [4, 2]])
+    rows = [(i, bytearray(i.to_bytes(4, "little")), i % 500) for i in range(1000)]
+    df = spark.createDataFrame(rows, "seq long, flowkey binary, length long").repartition(3)
+    folder = str(tmp_path / "files")
+    assert formats.write_record_files(df, folder, fmt) == 1000
+    monkeypatch.setattr(formats, "RANGE", 60)
+    for reach in (True, False):
+        monkeypatch.setattr(formats, "reachable", lambda path, reach=reach: reach)
+        back = formats.read_records(spark, folder, fmt).orderBy("seq").collect()
+        assert [(r["seq"], bytes(r["flowkey"]), r["length"]) for r in back] == [(s, bytes(k), n) for s, k, n in rows]
+    assert formats.write_record_files(df.where("false"), str(tmp_path / "none"), fmt) == 0
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     from rillflow.streaming.windows import stream_fold, windowed_cells, windowed_truth
 
