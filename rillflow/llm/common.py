@@ -11,16 +11,12 @@ Conventions of every operator here:
 * intermediate results that are used twice are written once, as Parquet, to the
   shared folder (``materialize``) and so outlive the executors that made them.
   All of an application's lie in one folder there, which goes when the
-  application ends; ``clean_up`` removes it earlier, once no result that was
-  made from it is still to be computed.
+  application ends; ``sources.scratch.clean_up`` removes it earlier, once no
+  result that was made from it is still to be computed.
 """
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import scratch
+
 #: Tables of up to so many ids (up to 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 #: Rows and bytes of a slice that a kernel sees.
@@ -40,47 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset the context's checkpoint folder, or, in local runs only, one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _own_dir()
-    return found
-
-
-@functools.cache
-def _own_dir() -> str:
-    """A folder of this process, for local runs; it goes when the process ends."""
-    made = tempfile.mkdtemp(prefix="rillflow-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return made
-
-
-def _scratch(spark: SparkSession) -> tuple[str, object, object]:
-    """The application's folder for written tables, as text and as Hadoop path, and its file system."""
-    folder = f"{shared_dir(spark).rstrip('/')}/rillflow-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return folder, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    folder, path, files = _scratch(spark)
-    files.deleteOnExit(path)
-    written = f"{folder}/{label}-{uuid.uuid4().hex}"
+    written = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(written)
     return spark.read.schema(df.schema).parquet(written)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Remove all tables that this application has written to the shared folder."""
-    _, path, files = _scratch(spark)
-    files.delete(path, True)
-
-
 def few(written: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast if its counted rows are within the bound."""
     return F.broadcast(written) if written.count() <= BROADCAST_IDS else written

@@ -47,19 +47,25 @@ def op2_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
 
 
+#: Links as in the pages' markup outside comments and scripts: absolute, protocol-relative and root-relative targets, &amp; decoded; of other relative targets, other references and base elements SQL knows nothing (no page of the tables has any).
 OP2_SQL = r"""
 WITH RECURSIVE u AS (
   SELECT page_id, url, translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path, html
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-urls AS (
-  SELECT DISTINCT url AS node FROM pages WHERE contains(url, '://')),
-link AS (
-  SELECT url AS src, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) AS dst FROM pages WHERE contains(url, '://')
+markup AS (SELECT url, regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '(?i)<script\b[\s\S]*?</script\s*>', '', 'g') AS html FROM pages WHERE contains(url, '://')),
+tag AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b(?:"[^"]*"|''[^'']*''|[^>"''])*>')) AS t FROM markup),
+target AS (
+  SELECT url, coalesce(nullif(regexp_extract(t, '(?i)\bhref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(t, '(?i)\bhref\s*=\s*''([^'']*)''', 1), ''), regexp_extract(t, '(?i)\bhref\s*=\s*([^"''>\s]+)', 1)) AS d FROM tag
+  WHERE regexp_matches(t, '(?i)^<link') AND regexp_matches(t, '(?i)\brel\s*=\s*(?:canonical[\s/>]|"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?'')')
   UNION ALL
-  SELECT url, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''>\s]+)', 1) FROM pages WHERE contains(url, '://')),
-edge AS (SELECT src, dst FROM link WHERE contains(dst, '://') AND src <> dst),
+  SELECT url, regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''>\s]+)', 1) FROM tag
+  WHERE regexp_matches(t, '(?i)^<meta') AND regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')),
+clean AS (SELECT url, trim(replace(d, '&amp;', '&')) AS d, regexp_extract(url, '^[\s\S]*?://[^/?#]*', 0) AS site FROM target),
+edge AS (
+  SELECT DISTINCT url AS src, dst FROM (
+    SELECT url, CASE WHEN regexp_matches(d, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN d WHEN starts_with(d, '//') THEN regexp_extract(site, '^[^/]*', 0) || d WHEN starts_with(d, '/') THEN site || d END AS dst FROM clean) WHERE dst <> url),
 sym AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge),
 reach(a, b) AS (SELECT src, dst FROM sym UNION SELECT r.a, s.dst FROM reach r JOIN sym s ON r.b = s.src),
 node AS (SELECT DISTINCT a AS url FROM reach),

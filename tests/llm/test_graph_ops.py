@@ -77,6 +77,35 @@ def test_links_as_written(spark):
     assert got == {i: "allow" if "c.org" in u else "block" for i, (u, _) in enumerate(rows)}
 
 
+def test_links_and_sql(spark):
+    """The contract's rules over pages with links, against SQL."""
+    import duckdb
+
+    r = random.Random(11)
+    hosts = ["example.com", "www.example.com", "a.net", "b.net", "c.org", "d.org", "e.info"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/en/1", "/es/1", "/fr/x?a=1&b=2", "/", "/de/3")]
+
+    def link():
+        to = r.choice(urls)
+        to = r.choice((to, to[5:], to[to.index("/", 7) :], to.replace("&", "&amp;")))
+        kind = r.random()
+        if kind < 0.4:
+            return f'<link rel="{r.choice(("canonical", "alternate canonical", "CANONICAL"))}" href="{to}">'
+        if kind < 0.5:
+            return f"<link href='{to}' rel=canonical>"
+        if kind < 0.8:
+            return f'<META HTTP-EQUIV="Refresh" content="0; url={to}">'
+        return r.choice((f'<!-- <link rel="canonical" href="{to}"> -->', f'<script>"<link rel=canonical href={to}>"</script>', f'<link rel="stylesheet" href="{to}">', ""))
+
+    rows = [(i, u, f"<html><head>{''.join(link() for _ in range(r.choice((0, 0, 0, 1, 2))))}</head><body>x</body></html>") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame([*rows, (900, None, "x"), (901, "no scheme", link())], "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    got = urlfilter.judge(pages, registry.RULES).toPandas()
+    assert same_rows(got, con.execute(registry.OP2_SQL).df())
+    assert urlfilter.page_edges(pages, "url", "html").count() > 8
+
+
 def brute(vectors, queries_, k):
     ids = sorted(vectors)
     v = np.array([vectors[i] for i in ids], float)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -500,3 +501,159 @@ def test_extraction_query(spark):
     p = pandas(htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text long")))
     assert p[p.page_id == 2].text.tolist() == ["Some words of it."] and p[p.page_id == 1].text.tolist() == [""] and len(p) == 3
     assert (p.n_chars == p.text.str.len()).all()
+
+
+# -- long, deep, empty ---------------------------------------------------------
+def test_secrets_beside_known_spans():
+    """What a pattern or a placeholder leaves of a run is looked at."""
+    a, b, c = "Zk9QpX7vTn2LmRw8YbHs", "deadbeefdeadbeefdeadbeef12", "Qw7ErTy8UiOp2AsDf5Gh"
+    text = f"key {a}+{b}/{c} end"
+    spans = {(k, text[x:y]) for x, k, y in secrets.scan(text)}
+    assert (2, b) in spans and {(3, a), (3, c)} <= spans
+    assert not any(x in secrets.redact(text, secrets.spelled(secrets.scan(text))) for x in ("Zk9", "Qw7"))
+    text = f"see /example/{a}{c} there"
+    assert [text[x:y] for x, k, y in secrets.scan(text)] == [a + c]
+
+
+def test_viterbi_by_all_paths():
+    """The restored word is the best of all paths through the lattice."""
+    r = random.Random(4)
+    n = toxicity.LETTERS
+    model = [r.uniform(-6, -0.1) for _ in range(n**3)]
+
+    def all_paths(chars):
+        paths = [((0, 0), 0.0, "")]
+        for i in range(len(chars)):
+            paths = [((a, b) if not x else (b, toxicity.code(x)), p + w + (model[(a * n + b) * n + toxicity.code(x)] if x else 0.0), made + x) for (a, b), p, made in paths for x, w in toxicity.arcs(chars, i)]
+        best = {}
+        for (a, b), p, made in paths:
+            best[made] = max(best.get(made, -1e9), p + model[(a * n + b) * n])
+        return best
+
+    for _ in range(200):
+        chars = "".join(r.choice("aabst013!@.-*") for _ in range(r.randint(1, 7)))
+        best = all_paths(chars)
+        assert best[toxicity.restore(chars, model)] == pytest.approx(max(best.values()))
+
+
+def test_edges_of_tokens():
+    for token, want in (("!!!", ""), ("(((a", "a"), ("abc@@!!", "abc"), ("abc@!!", "abc@"), ("-x-", "x"), ("$cum!", "$cum"), ("a" + "-" * 300_000 + "b", None), ("", ""), ("@@", "")):
+        assert toxicity.core(token) == (token if want is None else want)
+
+
+def test_first_split_is_the_best():
+    """The first tree's root against all columns and all thresholds."""
+    for seed in range(4):
+        r = np.random.default_rng(seed)
+        x = np.round(r.normal(size=(60, 4)), 1)
+        y = (x[:, seed] + 0.5 * r.normal(size=60) > 0).astype(float)
+        forest = quality.fit(x, y)
+        share = (y.sum() + 1) / (len(y) + 2)
+        g, h = share - y, np.full(60, share * (1 - share))
+
+        def gain(c, t, x=x, g=g, h=h):
+            left = x[:, c] <= t
+            sides = [(g[m].sum(), h[m].sum()) for m in (left, ~left)]
+            if min(w for _, w in sides) < quality.LEAST:
+                return -1.0
+            return sum(a * a / (w + quality.RIDGE) for a, w in sides) - g.sum() ** 2 / (h.sum() + quality.RIDGE)
+
+        cuts = [np.unique(np.quantile(x[:, c], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for c in range(4)]
+        best = max(gain(c, t) for c in range(4) for t in cuts[c])
+        assert gain(forest.feature[0, 0], forest.threshold[0, 0]) == pytest.approx(best) and best > 0
+
+
+def test_repeated_labels_and_ids(spark):
+    """Labels of an id all count; an id of very many documents isn't learned from."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(5)] + [(9, f"hot {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (9, 1), (None, 1), (3, None), (77, 1)], "doc_id long, quality int")
+    got = quality.labelled(texts, labels, "doc_id", "text", "quality", F.lit(True), 100).collect()
+    assert sorted((x["id"], x["y"]) for x in got) == [(1, 0), (1, 1), (2, 1)]
+    assert 0 < quality.score_quality(texts, quality.train_quality(texts, labels, F.lit(True))).first()["score"] < 1
+
+
+def test_empty_tables(spark, odd):
+    none = odd.where("false")
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert toxicity.score_toxicity(none, toxicity.train_toxicity(none, labels, F.lit(True))).count() == 0
+    assert quality.score_quality(none, quality.train_quality(none, labels, F.lit(True))).count() == 0
+    for empty in (secrets.scan_texts(none), media.store_texts(none), bpe.encode_texts(none, BYTE), packing.pack_texts(none, WORD), htmltext.extract_pages(pages)):
+        assert empty.count() == 0
+
+
+def test_long_texts():
+    """A token, a run of marks, single letters, deep pages, each of a megabyte or so: time is linear."""
+    model = [-1.0] * toxicity.LETTERS**3
+    texts = ["k3y" * 50_000, "a" + "-" * 1_000_000 + "b", "x " * 20_000, "password=" + "Zk9QpX7vTn2LmRw8" * 60_000, "word " * 200_000]
+    began = time.perf_counter()
+    for t in texts:
+        shares = toxicity.Shares({}, 0.1, model)
+        if "pass" not in t:
+            assert max((shares[w] for w in toxicity.tokens(t)), default=0.0) == 0.0
+        assert len(quality.statistics(t)) == len(quality.NAMES)
+        secrets.scan(t)
+        payload = t.encode().ljust(-(-len(t) // 192) * 192)
+        assert media.load(media.store(payload))[0] == payload
+        assert bpe.coder(BYTE).decode(bpe.coder(BYTE).encode_batch([t])[0]) == t
+        assert bpe.library_coder(WORD).encode_batch([t])[0]
+        assert len(neardup.shingles(t, 5, superminhash.WordHashes())) >= 1
+    for page in ("<div>x" * 50_000, "<span>" * 50_000 + "<p>x" * 50_000, "<div>x" * 20_000 + "</q>" * 50_000, "<!--" * 100_000, "<svg>" + "<g>" * 50_000, "<i><h1>" * 30_000 + "text"):
+        htmltext.extract(page, htmltext.default_field())
+    assert time.perf_counter() - began < 120
+
+
+def test_open_comment_reaches_to_the_end():
+    assert [b.text for b in htmltext.blocks_of("<p>a<!-- x --><p>b<!-- <p>c")] == ["a", "b"]
+
+
+def test_many_words(spark):
+    """Documents of 300,000 words: a near copy, and the same words backwards."""
+    r = random.Random(2)
+    words = [f"w{r.randrange(10**7)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1000], "other"])), (3, " ".join(words[::-1])), (4, "short one")]
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_slices_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * 100] * 500 + ["y" * 6_000_000] + ["z"] * 499)], ["id", "text"])
+    parts = list(common.slices(iter([batch, batch.slice(0, 0)])))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(1000)) and parts[-1].num_rows == 0
+    assert all(p.num_rows <= common.SLICE_ROWS and (p.nbytes <= common.SLICE_BYTES or p.num_rows == 1) for p in parts)
+    cache = common.Cache(3, 1000)
+    for i in range(8):
+        if cache.room(5):
+            cache[i] = i
+    assert set(cache) == {6, 7} and not cache.room(11)
+
+
+def test_settings_stay(spark, odd):
+    """No operator changes the session's settings; scratch tables lie in one folder, which can be removed."""
+    import os
+
+    from rillflow.sources.scratch import clean_up, scratch
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.checkpoint.dir")
+    before = [spark.conf.get(k, None) for k in names]
+    secrets.scan_texts(odd).count()
+    common.materialize(odd, "kept")
+    assert before == [spark.conf.get(k, None) for k in names]
+    folder = scratch(spark)
+    assert os.listdir(folder)
+    clean_up(spark)
+    assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize(("path", "make"), [(WORD, bpe.LibraryBpe), (BYTE, bpe.TrieBpe)])
+def test_characters_as_the_library_takes_them(path, make):
+    """Letters, digits and others of Unicode: every one up to U+2FFF, then one in 13."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    points = [x for x in (*range(0x3000), *range(0x3000, 0x110000, 13), 0x16D67, 0x16D68) if not 0xD800 <= x < 0xE000]
+    texts = [f"a{chr(x)}b 1{chr(x)}{chr(x)} {chr(x)}" for x in points]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [hex(p) for p, a, b in zip(points, want, make(path).encode_batch(texts), strict=True) if a != b] == []
