@@ -82,6 +82,12 @@ def decoded_distribution(truth: DataFrame, found: DataFrame, keys: list[str], at
     return distribution(truth.select(*keys, "value").join(found.select(*keys, "est"), keys), at)
 
 
+def as_rows(routine: str, metrics: DataFrame) -> DataFrame:
+    """One row of metrics as (routine, metric, value)."""
+    each = F.array(*(F.struct(F.lit(c.upper()).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics.columns))
+    return metrics.select(F.lit(routine).alias("routine"), F.explode(each).alias("x")).select("routine", "x.*")
+
+
 def timed(action: Callable[[], object], rows: int) -> dict[str, float]:
     """TIME in microseconds and RATE in rows a second of a whole action."""
     began = time.perf_counter()

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,10 +35,13 @@ from .sketch import Sketch
 Batches = Iterator[pa.RecordBatch]
 
 
-def fold(records: DataFrame, columns: list[str], shards: int, make: Callable[[], object], schema: str, seq: str = "seq", key: str = "key") -> DataFrame:
-    """Rows of each shard, in seq order, through ``make()``: an object with ``step(*columns)`` and ``rows()``, which gives tuples of the schema without the shard."""
-    dealt = records.select(shard_of(records, key, shards).alias("_shard"), F.col(seq).alias("_seq"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+def fold(records: DataFrame, columns: list[str], shards: int, make: Callable[[], object], schema: str, hashes: HashFamily, width: int, seq: str = "seq", key: str = "key") -> DataFrame:
+    """Rows of each shard, in seq order, through ``make()``: an object with ``put(places, *columns)`` and ``rows()``, which gives tuples of the schema without the shard.  Places are a row's positions, hashed before they come to Python."""
+    k = hashed(records, key)
+    own = [*(hashes.position(i, k, width).alias(f"_p{i}") for i in range(hashes.size)), *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns))]
+    dealt = records.select(shard_of(records, key, shards).alias("_shard"), F.col(seq).alias("_seq"), *own)
     dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "_seq") if shards > 1 else dealt.repartition(1).sortWithinPartitions("_seq")
+    first = 2 + hashes.size
 
     def kernel(batches: Batches) -> Batches:
         now, state = None, None
@@ -49,12 +52,13 @@ def fold(records: DataFrame, columns: list[str], shards: int, make: Callable[[],
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
         for batch in batches:
-            for shard, _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lists = [c.to_pylist() for c in batch.columns]
+            for shard, places, *row in zip(lists[0], zip(*lists[2:first], strict=True), *lists[first:], strict=True):
                 if shard != now:
                     if state is not None:
                         yield from done()
                     now, state = shard, make()
-                state.step(*row)
+                state.put(places, *row)
         if state is not None:
             yield from done()
 
@@ -71,9 +75,11 @@ class CuState:
     def __post_init__(self) -> None:
         self.rows_ = [[0] * self.width for _ in range(self.hashes.size)]
 
-    def step(self, key: int, value: int) -> None:
-        places = self.hashes.places(key, self.width)
-        to = min(row[p] for row, p in zip(self.rows_, places, strict=True)) + value
+    def step(self, key: int | bytes, value: int) -> None:
+        self.put(self.hashes.places(key, self.width), value)
+
+    def put(self, places: Sequence[int], value: int) -> None:
+        to = min([row[p] for row, p in zip(self.rows_, places, strict=True)]) + value
         for row, p in zip(self.rows_, places, strict=True):
             if row[p] < to:
                 row[p] = to
@@ -106,7 +112,7 @@ class ConservativeUpdate(Sketch):
     def build(self, records: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
         """Cells (shard, r, c, v)."""
         h, w = self.family(self.depth, self.seed), self.shard_width
-        return fold(records, [key, value], self.shards, lambda: CuState(h, w), "r long, c long, v long", key=key)
+        return fold(records, [value], self.shards, lambda: CuState(h, w), "r long, c long, v long", h, w, key=key)
 
     def query(self, cells: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
         h, k = self.family(self.depth, self.seed), hashed(keys, key)
@@ -120,7 +126,7 @@ class ConservativeUpdate(Sketch):
 
 @dataclass
 class PipeState:
-    """Stages of slots; None marks an empty one (a key of zeros is a key like any other)."""
+    """Stages of slots; None marks an empty one (a key of zeros is a key like any other).  A slot keeps its key's places, for when it is driven on."""
 
     hashes: HashFamily
     width: int
@@ -129,16 +135,19 @@ class PipeState:
     def __post_init__(self) -> None:
         self.slots = [[None] * self.width for _ in range(self.hashes.size)]
 
-    def step(self, key: int, value: int) -> None:
-        moving = (key, value)
+    def step(self, key: int | bytes, value: int) -> None:
+        self.put(tuple(self.hashes.places(key, self.width)), key, value)
+
+    def put(self, places: Sequence[int], key: int | bytes, value: int) -> None:
+        moving = (key, value, places)
         for stage, row in enumerate(self.slots):
-            p = self.hashes.place(stage, moving[0], self.width)
+            p = moving[2][stage]
             held = row[p]
             if held is None:
                 row[p] = moving
                 return
             if held[0] == moving[0]:
-                row[p] = (held[0], held[1] + moving[1])
+                row[p] = (held[0], held[1] + moving[1], held[2])
                 return
             # the first stage always takes the newcomer, later ones keep the larger; what leaves the last is lost
             if stage == 0 or held[1] < moving[1]:
@@ -171,7 +180,7 @@ class HashPipe(Sketch):
     def build(self, records: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
         """Slots (shard, stage, pos, key, value)."""
         h, w = self.family(self.depth, self.seed), self.shard_width
-        return fold(records, [key, value], self.shards, lambda: PipeState(h, w), f"stage long, pos long, key {'binary' if is_bytes(records, key) else 'long'}, value long", key=key)
+        return fold(records, [key, value], self.shards, lambda: PipeState(h, w), f"stage long, pos long, key {'binary' if is_bytes(records, key) else 'long'}, value long", h, w, key=key)
 
     def estimates(self, slots: DataFrame) -> DataFrame:
         """(key, est): the sum over stages."""
@@ -198,14 +207,17 @@ class RemovableState:
     def __post_init__(self) -> None:
         self.counters = [0] * self.width
 
-    def has(self, key: int) -> bool:
-        return all(self.counters[p] for p in self.hashes.places(key, self.width))
+    def has(self, places: Sequence[int]) -> bool:
+        return all([self.counters[p] for p in places])
+
+    def step(self, key: int | bytes, insert: bool) -> None:
+        self.put(self.hashes.places(key, self.width), insert)
 
-    def step(self, key: int, insert: bool) -> None:
+    def put(self, places: Sequence[int], insert: bool) -> None:
         """Inserts a key unless all its counters are over 0; removes one only if they are."""
-        if self.has(key) == bool(insert):
+        if self.has(places) == bool(insert):
             return
-        for p in self.hashes.places(key, self.width):
+        for p in places:
             self.counters[p] += 1 if insert else -1
             if self.counters[p] > self.most:
                 raise OverflowError("counter overflow")
@@ -219,7 +231,7 @@ class RemovableState:
 def counting_bloom_fold(operations: DataFrame, counters: int, count: int, bits: int = 4, seed: int = 3, shards: int = 1, family: Callable[[int, int], HashFamily] = HashFamily) -> DataFrame:
     """Counters (shard, pos, n) after inserts and removals (columns seq, key, insert), in order; one filter, or one a shard of the keys."""
     h, w = family(count, seed), next_prime(-(-counters // shards))
-    return fold(operations, ["key", "insert"], shards, lambda: RemovableState(h, w, (1 << bits) - 1), "pos long, n long")
+    return fold(operations, ["insert"], shards, lambda: RemovableState(h, w, (1 << bits) - 1), "pos long, n long", h, w)
 
 
 def peel(cells: dict[int, tuple[int, int, int]], places: Callable[[int], list[int]]) -> dict[int, int]:

@@ -18,8 +18,9 @@ from ..functions.hashing import WORD_BYTES, WORDS, HashFamily, P, fold
 from ..functions.numbers import next_prime
 from ..operators import evaluate as ev
 from ..operators import exact
-from ..operators.linear import Bloom, CountingBloom, CountMin, FlowRadar
+from ..operators.linear import Bloom, CountingBloom, CountMin, FlowRadar, changed
 from ..operators.ordered import ConservativeUpdate, HashPipe, HierarchyCountMin, counting_bloom_fold
+from ..operators.sketch import Sketch, create, register
 from ..sources import formats, pcap
 from ..sources.records import events, lineitem
 from ..sources.scratch import scratch
@@ -390,9 +391,10 @@ def _fold_sql(shards: int, element: str, step: str, size: int) -> str:
     )
 
 
-def _cu_sql(cu: ConservativeUpdate) -> str:
+def _cu_sql(cu: ConservativeUpdate, place: Callable[[int], str] | None = None) -> str:
     h, w, d = HashFamily(cu.depth, cu.seed), cu.shard_width, range(cu.depth)
-    at = [f"{_place_sql(h, i, 'key', w)} + {i * w + 1}" for i in d]
+    place = place or (lambda i: _place_sql(h, i, "key", w))
+    at = [f"{place(i)} + {i * w + 1}" for i in d]
     step = f"CASE WHEN list_contains(x, i) THEN greatest(v, 1 + least({', '.join(f'acc[x[{i + 1}]]' for i in d)})) ELSE v END"
     return f"WITH {GT}, {_fold_sql(cu.shards, f'[{", ".join(at)}]', step, cu.depth * w)} SELECT key, value, least({', '.join(f's[{x}]' for x in at)}) AS est FROM gt JOIN folded ON shard = {_place_sql(HashFamily(1, 77), 0, 'key', cu.shards)}"
 
@@ -627,6 +629,103 @@ def capture_summary(spark, sf_dir):
     return pcap.capture_summaries(spark, folder).groupBy("format", "link_type").agg((F.sum("size") > 24).alias("filled"))
 
 
+# -- more of the contract: one's own hash and sketch, sizes, reports -----------------------------
+class Modulo(HashFamily):
+    """A hash of one's own: the key plus the hash's number."""
+
+    def position(self, i, key, width):
+        return (key + i) % width
+
+    def place(self, i, key, width):
+        return (key + i) % width
+
+
+CM_OWN, CU_OWN = CountMin(2, 90, family=Modulo), ConservativeUpdate(2, 90, family=Modulo)
+
+
+@query(f"WITH {GT}, h(r) AS (VALUES (0), (1)), cells AS (SELECT r, (key + r) % {CM_OWN.width} AS c, CAST(sum(value) AS BIGINT) AS v FROM gt, h GROUP BY 1, 2) SELECT key, any_value(value) AS value, min(v) AS est FROM gt CROSS JOIN h JOIN cells ON cells.r = h.r AND cells.c = (key + h.r) % {CM_OWN.width} GROUP BY key")
+def cm_own_hash(spark, sf_dir):
+    truth = _truth(spark, sf_dir)
+    return CM_OWN.query(CM_OWN.build(truth), truth.select("key", "value"))
+
+
+@query(_cu_sql(CU_OWN, lambda i: f"(key + {i}) % {CU_OWN.shard_width}"))
+def cu_own_hash(spark, sf_dir):
+    return _cu(CU_OWN, spark, sf_dir)
+
+
+class LastSeen(Sketch):
+    """A sketch of one's own: remembers each flow's last length."""
+
+    size = 0
+
+    def build(self, records):
+        return records.groupBy("key").agg(F.max(F.struct("seq", "value")).alias("m")).select("key", F.col("m.value").alias("last"))
+
+    def query(self, state, keys, key="key"):
+        return keys.join(state.withColumnRenamed("last", "est"), key, "left")
+
+    def heavy_hitters(self, state, threshold):
+        return state.where(F.col("last") >= threshold).select("key", F.col("last").alias("est"))
+
+    def changers(self, state, other, threshold):
+        return changed(state.select("key", F.col("last").alias("est")), other.select("key", F.col("last").alias("est")), threshold)
+
+
+register("last_seen")(LastSeen)
+_LAST = "(SELECT key, max_by(length, seq) AS est FROM ev WHERE key IS NOT NULL AND length IS NOT NULL {} GROUP BY key)"
+
+
+@query(f"WITH {EV} SELECT key, CAST(est AS BIGINT) AS est FROM {_LAST.format('')} WHERE est >= 100")
+def own_sketch_hitters(spark, sf_dir):
+    """A registered sketch of one's own, made by name."""
+    own = create("last_seen")
+    rows = events(spark, sf_dir).where("key is not null and length is not null").withColumn("value", F.col("length"))
+    return own.heavy_hitters(own.build(rows), 100)
+
+
+@query(f"WITH {EV}, {HALF}, a AS {_LAST.format('AND seq < (SELECT h FROM half)')}, b AS {_LAST.format('AND seq >= (SELECT h FROM half)')} SELECT key, CAST(abs(coalesce(a.est, 0) - coalesce(b.est, 0)) AS BIGINT) AS est FROM a FULL JOIN b USING (key) WHERE abs(coalesce(a.est, 0) - coalesce(b.est, 0)) >= 50")
+def own_sketch_changers(spark, sf_dir):
+    own = create("last_seen")
+    states = [own.build(x.where("length is not null").withColumn("value", F.col("length"))) for x in _halves(spark, sf_dir)]
+    return own.changers(*states, 50)
+
+
+@query(f"WITH {GT}, t AS (SELECT key, value FROM gt ORDER BY value DESC, first_seen LIMIT {TOP}), p AS ({_pipe_sql(PIPE_ONE, 1)}), f AS (SELECT key, est FROM p WHERE est >= (SELECT min(value) FROM t)), {_detect_sql('t', 'f')}")
+def hashpipe_eval(spark, sf_dir):
+    """What the pipe reports from the k-th true value on, against the true top k."""
+    top = exact.heavy_hitters(_truth(spark, sf_dir), TOP).select("key", "value")
+    held = PIPE_ONE.estimates(PIPE_ONE.build(_packets(spark, sf_dir))).crossJoin(F.broadcast(top.agg(F.min("value").alias("cut"))))
+    return ev.detections(top, held.where("est >= cut"), ["key"])
+
+
+@query(f"WITH {_gate_sql(RADAR.filter)}, n AS (SELECT count(*) AS all_, count(CASE WHEN inserted THEN 1 END) AS taken FROM gate) SELECT unnest([0.0::DOUBLE, 0.1::DOUBLE, 'Infinity'::DOUBLE]) AS tick, unnest([1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS share FROM n WHERE all_ = taken")
+def decode_dist(spark, sf_dir):
+    """Shares of the decoded flows by relative error."""
+    truth = _truth(spark, sf_dir)
+    return ev.decoded_distribution(truth, RADAR.decode(RADAR.build(truth)), ["key"], [0.0, 0.1])
+
+
+@query(
+    "SELECT * FROM (VALUES ('bloom', CAST(ceil(2577611 / 8.0) + 32 * 5 + 32 AS BIGINT)), ('count_min', CAST(5 * 80021 * 4 + 32 * 5 + 32 AS BIGINT)), ('count_sketch', CAST(5 * 80021 * 4 + 32 * 10 + 32 AS BIGINT)), ('hashpipe', CAST(5 * 1009 * 17 + 32 * 5 + 32 AS BIGINT)), "
+    "('hierarchy_count_min', CAST(ceil(400105 * 11 / 8.0) + ceil(120041 * 8 / 8.0) + 32 * 3 + 32 * 5 + 32 AS BIGINT))) AS t(sketch, bytes)"
+)
+def sketch_sizes(spark, sf_dir):
+    """Bytes of sketches of the default parameters."""
+    made = {
+        "bloom": create("bloom", num_bits=2577607, num_hash=5), "count_min": create("count_min", depth=5, width=80001), "count_sketch": create("count_sketch", depth=5, width=80001),
+        "hashpipe": create("hashpipe", depth=5, width=1001), "hierarchy_count_min": create("hierarchy_count_min", depth=5, width=80001, cnt_no_ratio=0.3, width_cnt=(10, 7), no_hash=(3,)),
+    }
+    return spark.createDataFrame([(k, s.size) for k, s in made.items()], "sketch string, bytes long")
+
+
+@query(f"WITH {GT}, {_cm_sql(CM)}, m AS (SELECT {ERRORS} FROM est) SELECT 'query' AS routine, unnest(['ARE', 'AAE', 'ACC']) AS metric, unnest([are, aae, acc]) AS value FROM m")
+def metric_report(spark, sf_dir):
+    """One row a metric."""
+    truth = _truth(spark, sf_dir)
+    return ev.as_rows("query", ev.errors(CM.query(CM.build(truth), truth.select("key", "value"))))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

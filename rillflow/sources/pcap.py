@@ -141,9 +141,12 @@ def read_capture(spark: SparkSession, path: str, key_length: int = 13) -> DataFr
     ranks = {r[0]: k for k, r in enumerate(files.select("path").orderBy("path").collect())}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
+                rows, seq = [], ranks[name] << 40
                 for link, micros, raw in packets(content):
                     p = ipv4(link, raw)
                     if p is None:
@@ -151,13 +154,13 @@ def read_capture(spark: SparkSession, path: str, key_length: int = 13) -> DataFr
                     *own, protocol, size = fields(p)
                     if key_length == 13 and protocol not in (TCP, UDP):
                         continue
-                    rows.append((ranks[name] << 40 | len(rows), micros, *own, protocol, size))
-                    if len(rows) == 1 << 40:
-                        raise ValueError("too many packets in a file")
+                    rows.append((seq, micros, *own, protocol, size))
+                    seq += 1
+                    if len(rows) == 1 << 16:
+                        yield as_batch(rows)
+                        rows = []
                 if rows:
-                    cols = list(zip(*rows, strict=True))
-                    types = [pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+                    yield as_batch(rows)
 
     return files.select("path", "content").mapInArrow(kernel, SCHEMA)
 

@@ -318,9 +318,16 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert {(x["r"], x["c"], x["v"]) for x in folded.collect()} == set(alone.rows())
 
 
-def test_cli(capsys):
+def test_cli(spark, capsys, tmp_path):
     from rillflow.cli import main
 
+    fmt = RecordFormat.parse([["flowkey", "length"], [4, 2]])
+    (tmp_path / "r.bin").write_bytes(fmt.encode([(i % 9).to_bytes(4, "little") for i in range(90)], None, [10] * 90))
+    (tmp_path / "c.toml").write_text(f'[CM.para]\ndepth = 2\nwidth = 500\n[CM.data]\ndata = "{tmp_path}/r.bin"\ncnt_method = "InPacket"\nformat = [["flowkey", "length"], [4, 2]]\n[CM.test]\nquery = ["ARE", "ACC"]\n')
+    assert main(["-c", str(tmp_path / "c.toml"), "-s", "CM", "count_min"]) == 0
+    out = capsys.readouterr().out
+    assert "size" in out and "ARE: 0" in out and "ACC: 1" in out
+    assert main(["-q", "flow_totals", "-d", SF]) == 0 and "flows" in capsys.readouterr().out
     assert main(["--list"]) == 0 and "count_min" in capsys.readouterr().out
 
 
