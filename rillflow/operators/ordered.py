@@ -5,10 +5,11 @@ folds over records in seq order.  A fold streams its rows (it never holds
 them), so its memory is the sketch.  ``shards`` splits flows by a hash of the
 key into independent sketches that fold in parallel, each with its share of the
 width: this is the form for large streams.  One shard is the single sketch over
-the whole stream, in one task: some 0.3 million records a second, so up to about
-a billion records in an hour; beyond, or where a flow may hold much of the
-stream, take shards, or ``streaming.windows.stream_fold``, which folds
-micro-batches into a kept state.
+the whole stream, in one task: 0.2 to 0.8 million records a second, so up to
+about a billion records in an hour; beyond, take shards, or
+``streaming.windows.stream_fold``, which folds micro-batches into a kept state.
+A flow's records are folded in one shard, however many they are: their order
+counts.
 
 The counter hierarchy and FlowRadar's decoding work on tables of a size fixed
 by the sketch's parameters.

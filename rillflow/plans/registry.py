@@ -384,10 +384,10 @@ def _place_sql(hashes: HashFamily, i: int, key: str, width: int) -> str:
 
 
 def _fold_sql(shards: int, element: str, step: str, size: int) -> str:
-    """CTE folded (shard, s): a list of ``size`` numbers after all elements x; step gives the i-th number from v, acc and x."""
+    """CTE folded (shard, s): a list of ``size`` numbers after all elements x; step gives the next list from acc and x."""
     return (
         f"steps AS (SELECT {_place_sql(HashFamily(1, 77), 0, 'key', shards)} AS shard, list({element} ORDER BY seq) AS xs FROM ev WHERE key IS NOT NULL GROUP BY 1), "
-        f"folded AS (SELECT shard, list_reduce(xs, lambda acc, x: list_transform(acc, lambda v, i: {step}), list_transform(range({size}), lambda z: CAST(0 AS BIGINT))) AS s FROM steps)"
+        f"folded AS (SELECT shard, list_reduce(xs, lambda acc, x: {step}, list_transform(range({size}), lambda z: CAST(0 AS BIGINT))) AS s FROM steps)"
     )
 
 
@@ -395,7 +395,7 @@ def _cu_sql(cu: ConservativeUpdate, place: Callable[[int], str] | None = None) -
     h, w, d = HashFamily(cu.depth, cu.seed), cu.shard_width, range(cu.depth)
     place = place or (lambda i: _place_sql(h, i, "key", w))
     at = [f"{place(i)} + {i * w + 1}" for i in d]
-    step = f"CASE WHEN list_contains(x, i) THEN greatest(v, 1 + least({', '.join(f'acc[x[{i + 1}]]' for i in d)})) ELSE v END"
+    step = f"list_transform(acc, lambda v, i: CASE WHEN list_contains(x, i) THEN greatest(v, 1 + least({', '.join(f'acc[x[{i + 1}]]' for i in d)})) ELSE v END)"
     return f"WITH {GT}, {_fold_sql(cu.shards, f'[{", ".join(at)}]', step, cu.depth * w)} SELECT key, value, least({', '.join(f's[{x}]' for x in at)}) AS est FROM gt JOIN folded ON shard = {_place_sql(HashFamily(1, 77), 0, 'key', cu.shards)}"
 
 
@@ -406,11 +406,12 @@ def _pipe_sql(pipe: HashPipe, least: int) -> str:
     moving, weight = f"(CASE WHEN x[1] = 0 THEN x[2] ELSE acc[{2 * n + 1}] END)", f"(CASE WHEN x[1] = 0 THEN 1 ELSE acc[{2 * n + 2}] END)"
     slot = f"(x[1] * {w} + 1 + CASE x[1] " + " ".join(f"WHEN {i} THEN {_place_sql(h, i, moving, w)}" for i in range(d)) + " END)"
     key, value = f"acc[{slot}]", f"acc[{slot} + {n}]"
+    same = f"({value} > 0 AND {key} = {moving})"
     swap = f"({value} = 0 OR x[1] = 0 OR {value} < {weight})"
+    pick = lambda if_same, if_swap, otherwise: f"[CASE WHEN {same} THEN {if_same} WHEN {swap} THEN {if_swap} ELSE {otherwise} END]"
     step = (
-        f"CASE WHEN {weight} = 0 THEN v WHEN {value} > 0 AND {key} = {moving} THEN CASE i WHEN {slot} + {n} THEN v + {weight} WHEN {2 * n + 2} THEN 0 ELSE v END "
-        f"WHEN {swap} THEN CASE i WHEN {slot} THEN {moving} WHEN {slot} + {n} THEN {weight} WHEN {2 * n + 1} THEN {key} WHEN {2 * n + 2} THEN {value} ELSE v END "
-        f"ELSE CASE i WHEN {2 * n + 1} THEN {moving} WHEN {2 * n + 2} THEN {weight} ELSE v END END"
+        f"acc[1:{slot} - 1] || {pick(key, moving, key)} || acc[{slot} + 1:{slot} + {n - 1}] || {pick(f'{value} + {weight}', weight, value)} || acc[{slot} + {n + 1}:{2 * n}] "
+        f"|| {pick(moving, key, moving)} || {pick('0', value, weight)}"
     )
     steps = f"flatten(list(list_transform(range({d}), lambda z: [z, key]) ORDER BY seq))"
     folded = _fold_sql(pipe.shards, "0", step, 2 * n + 2).replace("list(0 ORDER BY seq)", steps)
@@ -423,7 +424,7 @@ def _removal_sql(counters: int, hashes: int, shards: int) -> str:
     inserts = "CASE WHEN coalesce(event_type, '') <> 'purchase' THEN 1 ELSE 0 END"
     has = " AND ".join(f"acc[x[{i + 2}]] > 0" for i in range(hashes))
     times = " + ".join(f"CAST(i = x[{i + 2}] AS BIGINT)" for i in range(hashes))
-    step = f"v + (CASE WHEN x[1] = 1 AND NOT ({has}) THEN 1 WHEN x[1] = 0 AND {has} THEN -1 ELSE 0 END) * ({times})"
+    step = f"list_transform(acc, lambda v, i: v + (CASE WHEN x[1] = 1 AND NOT ({has}) THEN 1 WHEN x[1] = 0 AND {has} THEN -1 ELSE 0 END) * ({times}))"
     return f"WITH {EV}, {_fold_sql(shards, f'[{inserts}, {at}]', step, w)}, u AS (SELECT shard, unnest(range({w})) AS pos, unnest(s) AS n FROM folded) SELECT shard, pos, n FROM u WHERE n > 0"
 
 

@@ -8,6 +8,7 @@ padding is written as zeros.  A field that the format lacks is null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,10 +85,15 @@ class RecordFormat:
         return out.tobytes()
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path of Spark's, and the place there."""
+    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else (fs.LocalFileSystem(), path)
+
+
 def reachable(path: str) -> bool:
     """Whether Python workers can open a path of Spark's themselves."""
     try:
-        fs.FileSystem.from_uri(path)
+        opened(path)
     except (pa.ArrowInvalid, OSError):
         return False
     return True
@@ -121,7 +127,7 @@ def read_records(spark: SparkSession, path: str, fmt: RecordFormat, key_length:
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for name, first, at, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                system, place = fs.FileSystem.from_uri(name)
+                system, place = opened(name)
                 with system.open_input_file(place) as f:
                     for k in range(at, at + n, CHUNK):
                         f.seek(k * width)
@@ -164,7 +170,7 @@ def write_record_files(records: DataFrame, folder: str, fmt: RecordFormat) -> in
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        system, place = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, place = opened(folder)
         system.create_dir(place, recursive=True)
         name, draft = f"{place}/part-{task.partitionId():06d}.bin", f"{place}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
         size = 0

@@ -14,11 +14,12 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .formats import opened
+
 ETHERNET, RAW, LOOPBACK, LINUX_SLL = 1, (12, 14, 101, 228), (0, 108), 113
 _SNOOP_LINKS = {4: 1}
 TCP, UDP = 6, 17
@@ -183,7 +184,7 @@ def write_captures(records: DataFrame, folder: str) -> int:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, parts = 0, [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, RAW[2])]
         task = TaskContext.get()
-        system, place = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, place = opened(folder)
         system.create_dir(place, recursive=True)
         name, draft = f"{place}/part-{task.partitionId():06d}.pcap", f"{place}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
         with system.open_output_stream(draft) as f:
