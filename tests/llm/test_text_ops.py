@@ -657,3 +657,14 @@ def test_characters_as_the_library_takes_them(path, make):
     texts = [f"a{chr(x)}b 1{chr(x)}{chr(x)} {chr(x)}" for x in points]
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [hex(p) for p, a, b in zip(points, want, make(path).encode_batch(texts), strict=True) if a != b] == []
+
+
+def test_extraction_of_held_out_pages():
+    """Blocks of generated pages that training hasn't seen, by label; whole texts of most of them."""
+    crf, right, blocks_n, whole = htmltext.default_field(), 0, 0, 0
+    pages = htmltext.labelled_pages(200, seed=99)
+    for p in pages:
+        blocks = htmltext.blocks_of(p, labels=True)
+        same = [b.label == y for b, y in zip(blocks, crf.label(blocks), strict=True)]
+        right, blocks_n, whole = right + sum(same), blocks_n + len(same), whole + all(same)
+    assert right >= 0.97 * blocks_n and whole >= 0.85 * len(pages), (right / blocks_n, whole)
