@@ -5,10 +5,11 @@ cosine.  Distinct rows are dealt to shards by a hash of id and vector, so
 neither equal nor near vectors nor a repeated id crowd a shard.  A shard's rows
 come to its task first and become one tree, built once; then the queries stream
 through it.  A node has a vantage point and the median distance to it; the near
-half lies inside.  A query goes to the nearer side first and to the other only
-if the triangle inequality leaves room there for something nearer than its k-th
-best so far, whose distance is multiplied by ``factor``: 1 gives exact search,
-less prunes more.  All queries of a slice go down a tree together.
+half lies inside.  A query first goes to the leaf that is nearest all the way
+down, then through the tree: always to the nearer side, to the other only if the
+triangle inequality leaves room there for something nearer than its k-th best so
+far, whose distance is multiplied by ``factor``: 1 gives exact search, less
+prunes more.  All queries of a slice go through a tree together.
 
 Scores are cosines in double precision, computed where a leaf holds something
 that may be among the best; ties go to the smaller id, exactly: vectors that
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialize
 
 #: Rows a shard, points a leaf.
 SHARD, LEAF = 16_384, 64
@@ -95,6 +96,8 @@ class VpTree:
         found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
         def leaf(node: Node, q: np.ndarray) -> None:
+            if not len(q):
+                return
             near = unit[q] @ self.rows[node.lo : node.hi].T
             self.compared += near.size
             least = best[q, -1]
@@ -117,22 +120,39 @@ class VpTree:
             top = order[rank < k]
             best[met], found[met] = scores[top].reshape(-1, k), names[top].reshape(-1, k)
 
-        def visit(node: Node, q: np.ndarray) -> None:
+        home = np.full(len(ids), -1)
+
+        def gaps(node: Node, q: np.ndarray) -> np.ndarray:
+            self.compared += len(q)
+            return distances(unit[q], node.point[None])[:, 0] - node.radius
+
+        def descend(node: Node, q: np.ndarray) -> None:
+            """Each query to the leaf that is always nearer, for a first bound."""
             if not len(q):
                 return
             if node.point is None:
+                home[q] = node.lo
                 leaf(node, q)
                 return
-            self.compared += len(q)
-            gap = distances(unit[q], node.point[None])[:, 0] - node.radius
-            near = gap < 0
-            for side, other in ((True, node.outside), (False, node.inside)):
-                visit(node.inside if side else node.outside, q[near == side])
-                mine = near == side
-                reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best[q[mine], -1])) * factor + EPS
-                visit(other, q[mine][np.abs(gap[mine]) <= reach])
-
-        visit(self.root, np.arange(len(ids)))
+            near = gaps(node, q) < 0
+            descend(node.inside, q[near])
+            descend(node.outside, q[~near])
+
+        def visit(node: Node, q: np.ndarray) -> None:
+            """All leaves but the first that may hold something nearer, each once for all queries that get there."""
+            if not len(q):
+                return
+            if node.point is None:
+                leaf(node, q[home[q] != node.lo])
+                return
+            gap = gaps(node, q)
+            for side, nearer in ((node.inside, gap < 0), (node.outside, gap >= 0)):
+                reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * best[q, -1])) * factor + EPS
+                visit(side, q[nearer | (np.abs(gap) <= reach)])
+
+        everyone = np.arange(len(ids))
+        descend(self.root, everyone)
+        visit(self.root, everyone)
         return best, found
 
 
@@ -183,7 +203,7 @@ def by_width(batch: pa.RecordBatch, vector: str) -> Iterator[tuple[np.ndarray, n
 def nearest(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = FACTOR) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which queries (a condition on the id column) holds, itself excepted."""
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("is_query")).where(F.col("id").isNotNull() & usable("v"))
-    own = own.dropDuplicates(["id", "v"])
+    own = materialize(own.dropDuplicates(["id", "v"]), "vectors")
     shards = max(1, -(-own.count() // SHARD))
     base = own.select(F.pmod(F.xxhash64(F.lit(3), "id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("q"), "id", "v")
     asks = own.where("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("q"), "id", "v")
