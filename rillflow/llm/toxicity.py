@@ -267,7 +267,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
     sample = materialize(labelled(docs, labels, id_col, text_col, label_col, train, SAMPLE), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Cache(CACHE_WORDS, 8 << 20)
+        made = Cache(CACHE_WORDS // 4, 1 << 20)  # what a token gives is many times its size
         for batch in batches:
             found, toxic = [], []
             for t, y in zip(texts_of(batch), batch.column(2).to_pylist(), strict=True):
@@ -275,7 +275,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
                 for w in tokens(t):
                     fs = made.get(w)
                     if fs is None:
-                        fs = {f for word in forms(w, model) for f in features(word)}
+                        fs = tuple({f for word in forms(w, model) for f in features(word)})
                         if made.room(len(w)):
                             made[w] = fs
                     own.update(fs)
