@@ -209,13 +209,13 @@ class RemovableState:
         self.counters = [0] * self.width
 
     def has(self, places: Sequence[int]) -> bool:
-        return all([self.counters[p] for p in places])
+        return all([self.counters[p] > 0 for p in places])
 
     def step(self, key: int | bytes, insert: bool) -> None:
         self.put(self.hashes.places(key, self.width), insert)
 
     def put(self, places: Sequence[int], insert: bool) -> None:
-        """Inserts a key unless all its counters are over 0; removes one only if they are."""
+        """Inserts a key unless all its counters are over 0; removes one only if they are.  A key with a place twice takes 2 from that counter, which may so fall below 0."""
         if self.has(places) == bool(insert):
             return
         for p in places:
@@ -225,7 +225,7 @@ class RemovableState:
 
     def rows(self) -> Iterator[tuple]:
         for p, n in enumerate(self.counters):
-            if n:
+            if n > 0:
                 yield p, n
 
 
