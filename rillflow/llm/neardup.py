@@ -13,16 +13,16 @@ document with the least id that links reach.
 3. Stars: in each bucket every class is compared with the bucket's leader, on
    the full sets.  Linear in the buckets' sizes; joins most groups.
 4. Rest: of buckets that still hold several components, the classes outside
-   the leader's component (the rest) are compared with all others of other
+   the heaviest one (the rest) are compared with all others of other
    components, in blocks of bounded weight (documents and shingles): first by
    signature (an estimate ``SLACK`` under the threshold, 4.9 standard errors for
    independent registers, and no earlier bucket in common), then, of those left,
    on the full sets, all pairs of a block at once.  A block gives only the links
    that join components, so no pairs are listed, whatever a group's size, and
-   none is left out.  Buckets that would make more than ``MANY`` blocks are split
-   first, by prefix filtering: linked sets share one of the rarest shingles of
-   either, rarest in the bucket, so documents that agree in a frequent passage
-   only don't meet.
+   none is left out.  Buckets whose blocks (more than ``MANY``) would take more
+   rows than prefix filtering are split by that first: linked sets share one of
+   the rarest shingles of either, rarest in the bucket, so documents that agree
+   in a frequent passage only don't meet.
 5. Union-find over the links (``components``), twice: stars, then rest; and once
    more where an id has several texts, whose classes are then one.
 
@@ -56,7 +56,7 @@ from .superminhash import WordHashes, mix, shingles, signatures
 M, BAND = 96, 4
 #: Weight a side of a block, and what a class weighs besides its shingles; how far an estimate may lie under the threshold.
 BLOCK, WEIGHT, SLACK = 1 << 18, 512, 0.2
-#: Blocks from which on a bucket is split before.
+#: Up to so many blocks a bucket is never split before.
 MANY = 16
 
 
@@ -112,6 +112,11 @@ def _shingle_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in range(4)), pa.array(flat)], ["key", "band", "id", "n", "g"])
 
 
+def _prefix(threshold: int) -> F.Column:
+    """How many of a set's shingles hold one that any linked set has."""
+    return F.col("n") - F.expr(f"(n * {threshold} + 99) div 100") + 1
+
+
 def prefix_buckets(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Rows (key, band, id, n) of buckets dealt to smaller buckets in which linked sets still meet.
 
@@ -124,8 +129,7 @@ def prefix_buckets(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     shared = every.groupBy("key", "g").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("key", "id")
     met = every.join(shared, ["key", "g"]).withColumn("place", F.row_number().over(own.orderBy("df", "g"))).withColumn("alone", F.col("n") - F.count("*").over(own))
-    first = F.col("n") - F.expr(f"(n * {threshold} + 99) div 100") + 1
-    return met.where(F.col("place") + F.col("alone") <= first).select(F.xxhash64("key", "g").alias("key"), "band", "id", "n")
+    return met.where(F.col("place") + F.col("alone") <= _prefix(threshold)).select(F.xxhash64("key", "g").alias("key"), "band", "id", "n")
 
 
 def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, threshold: int) -> np.ndarray | bool:
@@ -266,16 +270,20 @@ def _led(rows: DataFrame) -> DataFrame:
     return materialize(rows.join(shared, "key").select("key", "band", "id", "n", "leader", "leader_n"), "buckets")
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Rows of buckets with several components, whether a row is of the rest, and how many blocks a side the rest (rcs) and all (ocs) make."""
+def _mixed(placed: DataFrame, threshold: int) -> DataFrame:
+    """Rows of buckets with several components, whether a row is of the rest (outside the heaviest component), how many blocks a side the rest (rcs) and all (ocs) make, and whether a split by prefixes makes fewer rows than they do (wide)."""
     weight = F.col("n") + WEIGHT
-    sums = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "comp")).alias("least"), F.sum(weight).alias("c")).where("lo < hi")
-    sums = few(materialize(sums.select("key", F.col("least.comp").alias("main"), "c"), "mixed"))
+    parts = placed.groupBy("key", "comp").agg(F.sum(weight).alias("w"))
+    sums = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("w", "comp")).alias("most"), F.sum("w").alias("c")).where("comps > 1")
+    sums = few(materialize(sums.select("key", F.col("most.comp").alias("main"), "c"), "mixed"))
     many = placed.join(sums, "key").withColumn("rest", F.col("comp") != F.col("main"))
     many = materialize(many.select("key", "band", "id", "n", "leader", "comp", "c", "rest"), "rest")
-    sizes = few(materialize(many.groupBy("key").agg(F.sum(F.when(F.col("rest"), weight)).alias("r")), "sizes"))
+    made = many.groupBy("key").agg(F.sum(F.when(F.col("rest"), weight)).alias("r"), F.count(F.when(F.col("rest"), 1)).alias("rests"), F.count("*").alias("rows"), F.sum(_prefix(threshold)).alias("prefixes"))
+    sizes = few(materialize(made, "sizes"))
     chunks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    return many.join(sizes, "key").withColumn("rcs", chunks("r")).withColumn("ocs", chunks("c"))
+    both = many.join(sizes, "key").withColumn("rcs", chunks("r")).withColumn("ocs", chunks("c"))
+    dealt = F.col("rests") * F.col("ocs") + F.col("rows") * F.col("rcs")
+    return both.withColumn("wide", (F.col("rcs") * F.col("ocs") > MANY) & (dealt > F.col("prefixes"))).drop("rests", "rows", "prefixes")
 
 
 def _rest_links(both: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, exact: bool) -> DataFrame:
@@ -322,14 +330,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = _stars(buckets, sets, threshold)
     placed = lambda rows: rows.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    both = _mixed(placed(buckets.select("key", "band", "id", "n", "leader")))
-    wide = materialize(both.where(F.col("rcs") * F.col("ocs") > MANY).select("key", "band", "id", "n"), "wide")
+    both = _mixed(placed(buckets.select("key", "band", "id", "n", "leader")), threshold)
+    wide = materialize(both.where("wide").select("key", "band", "id", "n"), "wide")
     marked = classes
     if exact:
         marked = classes.drop("bands").join(prefixes.groupBy("id").agg(F.collect_list("key").alias("bands")), "id")
     elif not wide.isEmpty():
         parts = materialize(prefix_buckets(wide, sets, threshold).withColumn("leader", F.lit(-1).cast("long")), "parts")
-        both = both.where(F.col("rcs") * F.col("ocs") <= MANY).unionByName(_mixed(placed(parts)))
+        both = both.where("not wide").unionByName(_mixed(placed(parts), threshold))
     final = _joined(first, _rest_links(both, marked, sets, threshold, exact))
 
     several = materialize(known.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("id"), "several")

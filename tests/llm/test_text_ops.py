@@ -289,6 +289,30 @@ def test_near_duplicates(spark, seed, words, many, exact, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c} and kept.columns == df.columns
 
 
+def test_large_families_make_few_rows(spark, monkeypatch):
+    """Variants of one text, most of which link with the first only: blocks and splits copy each class a few times, and no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 7000)
+    made, write = {}, neardup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    r = random.Random(8)
+    base, texts = [f"w{r.randrange(4000)}" for _ in range(200)], {}
+    for i in range(1, 201):
+        t = list(base)
+        for at in r.sample(range(200), 0 if i == 1 else r.choice((9, 10, 11, 13, 14))):
+            t[at] = f"v{r.randrange(10**6)}"
+        texts[i] = " ".join(t)
+    want, _ = brute_components(texts, 2, 80)
+    p = pandas(neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2)).set_index("doc_id")
+    assert p.component_id.to_dict() == want and 2 < len(set(want.values())) < 190
+    assert made["flagged"] + made.get("parts", 0) <= 12 * made["buckets"]
+
+
 def test_repeated_ids_join_what_their_texts_join(spark):
     r = random.Random(3)
     a, b = ([f"w{r.randrange(3000)}" for _ in range(60)] for _ in range(2))
